@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratingloom.functions.numeric import hash_percent, hash_text
+from ratingloom.operators.index import dense_index
 
 SEED = 42
 _BUCKET_DIGITS = 4  # 16**4 hash buckets
@@ -26,9 +27,11 @@ def sample_rows(
 
     ``position`` numbers the rows from 0.  The rows with the ``n`` smallest hashes
     are taken: a histogram of hash prefixes shows which prefixes are taken whole,
-    and only the rows of the one prefix that is cut are ranked.  ``check`` makes
-    the query fail when there are fewer than ``first`` rows.
+    and only the rows of the one prefix that is cut are ranked.  ``check``
+    fails when there are fewer than ``first`` rows.
     """
+    if check and rows.count() < first:
+        raise ValueError(f"fewer than {first} rows")
     head = rows.filter(F.col(position) < first).withColumn("_hash", hash_text(position, seed=seed))
     head = head.withColumn("_bucket", F.substring("_hash", 1, _BUCKET_DIGITS))
     # At most 16**4 rows, whatever the data: safe for one task and a broadcast.
@@ -40,16 +43,11 @@ def sample_rows(
         .filter(F.col("_upto") - F.col("_rows") < n)
         .select("_bucket", "_upto", (F.lit(n) - F.col("_upto") + F.col("_rows")).alias("_quota"))
     )
-    if check:
-        enough = F.assert_true(F.lit(rows.count()) >= first, F.lit("fewer rows than asked for"))
-        cuts = cuts.filter(F.coalesce(enough.cast("boolean"), F.lit(True)))
     near = head.join(F.broadcast(cuts), "_bucket")
     whole = near.filter(F.col("_upto") <= n).select(*rows.columns)
-    by_hash = Window.partitionBy("_bucket").orderBy("_hash", position)
     cut = (
-        near.filter(F.col("_upto") > n)
-        .withColumn("_rank", F.row_number().over(by_hash))
-        .filter(F.col("_rank") <= F.col("_quota"))
+        dense_index(near.filter(F.col("_upto") > n), ["_hash", position], "_rank")
+        .filter(F.col("_rank") < F.col("_quota"))
         .select(*rows.columns)
     )
     return whole.union(cut)
