@@ -81,9 +81,12 @@ def frequent_levels(
         yield level
         if size == max_size:
             return
-        found = stage(_occurrences(found, grown, kept), f"found{size}")
         size += 1
-        grown = stage(_candidates(level, size), f"candidates{size}")
+        candidates = stage(_candidates(level, size), f"candidates{size}")
+        if candidates.isEmpty():
+            return
+        found = stage(_occurrences(found, grown, kept), f"found{size - 1}")
+        grown = candidates
         level = stage(_counted(_occurrences(found, grown, kept), size, min_count), f"level{size}")
         grown = grown.join(level.select("items"), "items", "left_semi")
 

@@ -30,7 +30,7 @@ from ratingloom.session import stage
 DIRECT_ITEMS = 1024
 OVERSAMPLE = 8
 MAX_ROUNDS = 100
-TOLERANCE = 1e-13
+TOLERANCE = 1e-12
 
 # Below this norm an item's factors are rounding noise and have no direction.
 ZERO_NORM = 1e-9
@@ -179,12 +179,12 @@ def _direct(gram, basis, mixing, k):
     eigenvalues, vectors = eigenvalues[::-1], vectors[:, ::-1]
     k = _kept(eigenvalues, k)
     rows = pd.DataFrame({"item": ids, "f": list(vectors[:, :k])})
-    return spark.createDataFrame(rows, "item long, f array<double>"), list(np.sqrt(eigenvalues[:k]))
+    return spark.createDataFrame(rows, "item long, f array<double>"), np.sqrt(eigenvalues[:k]).tolist()
 
 
 def _iterated(gram, basis, mixing, k):
     """Block power iteration; the blocks stay distributed tables ``item, f``."""
-    p = k + OVERSAMPLE
+    p = min(k + OVERSAMPLE, gram.filter("i = j").count())
     ids = gram.filter("i = j").select(F.col("i").alias("item"))
     start = ids.select(
         "item",
@@ -204,7 +204,7 @@ def _iterated(gram, basis, mixing, k):
         previous = eigenvalues[:k].copy()
         block = _orthonormal(product, p)
     k = _kept(eigenvalues, k)
-    return stage(_times(block, rotation[:, :k]), "item_factors"), list(np.sqrt(eigenvalues[:k]))
+    return stage(_times(block, rotation[:, :k]), "item_factors"), np.sqrt(eigenvalues[:k]).tolist()
 
 
 def _gram_times(gram, basis, mixing, block, p):
