@@ -60,6 +60,15 @@ def _count(spark: SparkSession, sf: str, share: float) -> int:
     return int(baskets * share)
 
 
+def _item_model(rated: DataFrame) -> DataFrame:
+    """The similarity table is the model: stored once, its size known to the joins."""
+    return stage(similarity.item_cosine(rated), "cosine")
+
+
+def _user_model(rated: DataFrame) -> DataFrame:
+    return stage(similarity.user_cosine(rated), "cosine")
+
+
 def _scores(df: DataFrame) -> DataFrame:
     return df.withColumn("score", stable_round(F.col("score")))
 
@@ -304,37 +313,37 @@ def user_similarity_table(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def itemcf_predict(spark: SparkSession, sf: str) -> DataFrame:
     rated = _brand(spark, sf)
-    return _scores(itemcf.predict(rated, rated, similarity.item_cosine(rated)))
+    return _scores(itemcf.predict(rated, rated, _item_model(rated)))
 
 
 @query
 def itemcf_recommend(spark: SparkSession, sf: str) -> DataFrame:
     rated = _brand(spark, sf)
-    return _scores(itemcf.recommend(rated, stage(similarity.item_cosine(rated), "cosine"), 10))
+    return _scores(itemcf.recommend(rated, _item_model(rated), 10))
 
 
 @query
 def itemcf_rmse(spark: SparkSession, sf: str) -> DataFrame:
     training, test = sampling.split_ratings(_brand(spark, sf), 80)
-    return _error(itemcf.evaluate(training, test, similarity.item_cosine(training)))
+    return _error(itemcf.evaluate(training, test, _item_model(training)))
 
 
 @query
 def usercf_predict(spark: SparkSession, sf: str) -> DataFrame:
     rated = _supplier(spark, sf)
-    return _scores(usercf.predict(rated, rated, similarity.user_cosine(rated)))
+    return _scores(usercf.predict(rated, rated, _user_model(rated)))
 
 
 @query
 def usercf_recommend(spark: SparkSession, sf: str) -> DataFrame:
     rated = _supplier(spark, sf)
-    return _scores(usercf.recommend(rated, stage(similarity.user_cosine(rated), "cosine")))
+    return _scores(usercf.recommend(rated, _user_model(rated)))
 
 
 @query
 def usercf_rmse(spark: SparkSession, sf: str) -> DataFrame:
     training, test = sampling.split_ratings(_supplier(spark, sf), 80)
-    return _error(usercf.evaluate(training, test, similarity.user_cosine(training)))
+    return _error(usercf.evaluate(training, test, _user_model(training)))
 
 
 # --- factor models ----------------------------------------------------------
@@ -555,7 +564,7 @@ def support_folders_text(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def recommendation_lines_text(spark: SparkSession, sf: str) -> DataFrame:
     rated = _brand(spark, sf)
-    ranked = _scores(itemcf.recommend(rated, stage(similarity.item_cosine(rated), "cosine"), 10))
+    ranked = _scores(itemcf.recommend(rated, _item_model(rated), 10))
     return src.read_lines(spark, _written(spark, out.recommendation_lines(ranked), "recommendations"))
 
 

@@ -7,10 +7,13 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_SCOPES: list[list[str]] = []
 
 
 def session(app_name: str = "ratingloom", **conf: str) -> SparkSession:
@@ -24,6 +27,12 @@ def session(app_name: str = "ratingloom", **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Split a hot join key even where that costs one more shuffle.
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        # Both are decided on sizes measured at run time; beyond them the join is
+        # a sort-merge join.
+        .config("spark.sql.autoBroadcastJoinThreshold", "64m")
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in conf.items():
@@ -48,7 +57,10 @@ def _shared_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path for ``label`` under this application's scratch folder."""
     app = spark.sparkContext.applicationId
-    return f"{_shared_root(spark)}/ratingloom-{app}/{label}-{uuid.uuid4().hex}"
+    path = f"{_shared_root(spark)}/ratingloom-{app}/{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -72,13 +84,32 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete everything this application has staged."""
+def _delete(spark: SparkSession, folder: str) -> None:
     sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{_shared_root(spark)}/ratingloom-{sc.applicationId}")
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete what is staged inside the block once it ends.
+
+    For jobs that write their result; a DataFrame made inside must not be read
+    afterwards.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for folder in _SCOPES.pop():
+            _delete(spark, folder)
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete everything this application has staged."""
+    _delete(spark, f"{_shared_root(spark)}/ratingloom-{spark.sparkContext.applicationId}")
+
+
 def local_conf(cores: int | str, driver_memory: str = "20g") -> dict[str, str]:
     """Settings for a single-machine run."""
     parts = str(os.cpu_count() if cores == "*" else cores)
@@ -87,4 +118,7 @@ def local_conf(cores: int | str, driver_memory: str = "20g") -> dict[str, str]:
         "spark.driver.memory": driver_memory,
         "spark.sql.shuffle.partitions": parts,
         "spark.ui.enabled": "false",
+        # Small tables still spread over all cores.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
+        "spark.sql.files.openCostInBytes": "128k",
     }
