@@ -132,6 +132,76 @@ SELECT raw_item AS raw,
 FROM ({RAW}) GROUP BY raw_item"""
 
 
+_SQUARINGS = 15
+
+
+def _leading(matrix: str) -> str:
+    """The leading right factor ``lead(item, v)`` of ``matrix(user, item, rating)``.
+
+    Squaring the Gram matrix again and again leaves its leading direction only.
+    """
+    power = "".join(
+        f"""
+p{n + 1} AS MATERIALIZED (
+  SELECT x.i, y.j, sum(x.g * y.g) / (SELECT sum(g * g) FROM p{n}) AS g
+  FROM p{n} x JOIN p{n} y ON x.j = y.i GROUP BY 1, 2),"""
+        for n in range(_SQUARINGS)
+    )
+    return f"""
+p0 AS MATERIALIZED (
+  SELECT x.item AS i, y.item AS j, sum(x.rating * y.rating) AS g
+  FROM {matrix} x JOIN {matrix} y ON x."user" = y."user" GROUP BY 1, 2),{power}
+image AS (SELECT i AS item, sum(g * (1 + j / 100.0)) AS w FROM p{_SQUARINGS} GROUP BY 1),
+lead AS MATERIALIZED (SELECT item, w / sqrt(sum(w * w) OVER ()) AS v FROM image),
+along AS (SELECT "user", sum(rating * v) AS a FROM {matrix} JOIN lead USING (item) GROUP BY 1)"""
+
+
+_RANK1_CELLS = """scores AS (SELECT "user", item, a * v AS score FROM along CROSS JOIN lead)"""
+
+
+def _rank1_items(cells: str, pairs: str) -> str:
+    weight = "(1 + CASE WHEN r.item = p.item THEN 0 ELSE sign(x.v) * sign(y.v) END)"
+    return f"""
+scores AS (
+  SELECT p."user", p.item, sum({weight} * r.rating) / nullif(sum({weight}), 0) AS score
+  FROM {pairs} p JOIN {cells} r ON r."user" = p."user"
+  JOIN lead x ON x.item = p.item JOIN lead y ON y.item = r.item GROUP BY 1, 2)"""
+
+
+def _normalised(cells: str) -> str:
+    return f"""
+um AS (SELECT "user", avg(rating) AS user_mean FROM {cells} GROUP BY 1),
+im AS (SELECT item, avg(rating) AS item_mean FROM {cells} GROUP BY 1),
+filled AS MATERIALIZED (
+  SELECT u."user", i.item, coalesce(c.rating, item_mean) - user_mean AS rating
+  FROM um u CROSS JOIN im i LEFT JOIN {cells} c ON c."user" = u."user" AND c.item = i.item)"""
+
+
+def _rank1_plus(cells: str, pairs: str) -> str:
+    weight = "(0.5 + 0.5 * CASE WHEN x.item = p.item THEN 0 ELSE sign(x.v) * sign(y.v) END)"
+    return f"""
+gaps AS (SELECT max(item) + 1 - count(DISTINCT item) AS n FROM {cells}),
+scores AS (
+  SELECT p."user", p.item,
+         any_value(user_mean) + sum({weight} * a * x.v) / (sum({weight}) + 0.5 * any_value(gaps.n)) AS score
+  FROM {pairs} p JOIN um ON um."user" = p."user" JOIN along ON along."user" = p."user"
+  JOIN lead y ON y.item = p.item CROSS JOIN lead x CROSS JOIN gaps GROUP BY 1, 2)"""
+
+
+_ALS_STEPS = """
+steps AS (
+  SELECT 0 AS t, item, CAST(1 AS DOUBLE) AS v FROM (SELECT DISTINCT item FROM train)
+  UNION ALL
+  SELECT t + 1, c.item, sum(c.rating * x) / (sum(x * x) + count(*))
+  FROM train c JOIN (
+    SELECT s.t, c."user", sum(c.rating * s.v) / (sum(s.v * s.v) + count(*)) AS x
+    FROM steps s JOIN train c ON c.item = s.item WHERE s.t < 40 GROUP BY 1, 2) p ON p."user" = c."user"
+  GROUP BY t, c.item),
+lead AS (SELECT item, v FROM steps WHERE t = 40),
+people AS (SELECT "user", sum(rating * v) / (sum(v * v) + count(*)) AS x FROM train JOIN lead USING (item) GROUP BY 1),
+scores AS (SELECT "user", item, x * v AS score FROM people CROSS JOIN lead)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
     text_brand = f"""SELECT "user", item, {_r('rating', 4)} AS rating FROM ({RATINGS_BRAND})"""
@@ -224,6 +294,20 @@ FROM (SELECT DISTINCT "user" FROM cells) u CROSS JOIN (SELECT DISTINCT item FROM
 LEFT JOIN cells c ON c."user" = u."user" AND c.item = i.item""",
         "svd_energy": f"SELECT round(sum(rating * rating) + 1e-6, 3) AS energy FROM ({RATINGS_BRAND})",
         "svd_normalised_energy": f"WITH {_NORMALISED} SELECT round(sum(value * value) + 1e-6, 3) AS energy FROM dense",
+        "svd_rank1_values": f"WITH RECURSIVE cells AS ({RATINGS_BRAND}), {_leading('cells')} "
+        f"SELECT CAST(0 AS INT) AS f, {_r('sqrt(sum(a * a))', 4)} AS s FROM along",
+        "svd_rank1_reconstruct": f"WITH RECURSIVE cells AS ({RATINGS_BRAND}), {_leading('cells')}, {_RANK1_CELLS} "
+        f"""SELECT "user", item, {_r('score')} AS score FROM scores""",
+        "svd_rank1_rmse": f"WITH RECURSIVE {_split(RATINGS_BRAND, 80)}, {_leading('train')}, {_RANK1_CELLS} {_RMSE}",
+        "svditem_rank1_predict": f"WITH RECURSIVE cells AS ({RATINGS_BRAND}), {_leading('cells')}, "
+        f"""{_rank1_items('cells', 'cells')} SELECT "user", item, {_r('score')} AS score FROM scores""",
+        "svditem_rank1_recommend": f"WITH RECURSIVE cells AS ({RATINGS_BRAND}), {_leading('cells')}, {_UNRATED}, "
+        f"{_rank1_items('cells', 'unrated')}, {_top(10)} SELECT * FROM best",
+        "svdplus_rank1_predict": f"WITH RECURSIVE cells AS ({RATINGS_BRAND}), {_normalised('cells')}, {_leading('filled')}, "
+        f"""{_rank1_plus('cells', 'cells')} SELECT "user", item, {_r('score')} AS score FROM scores""",
+        "svdplus_rank1_rmse": f"WITH RECURSIVE {_split(RATINGS_BRAND, 80)}, {_normalised('train')}, {_leading('filled')}, "
+        f"{_rank1_plus('train', 'test')} {_RMSE}",
+        "als_rank1_rmse": f"WITH RECURSIVE {_split(RATINGS_BRAND, 80)}, {_ALS_STEPS} {_RMSE.replace('1e-10, 6', '1e-10, 4')}",
         "ratings_text": text_part,
         "ratings_text_transposed": f"""SELECT item AS "user", "user" AS item, {_r('rating', 4)} AS rating FROM ({RATINGS_PART})""",
         "raw_ratings_text": f"""

@@ -441,6 +441,58 @@ def svdplus_rmse(spark: SparkSession, sf: str) -> DataFrame:
     return _error(svdcf.evaluate_normalised(training, test, svd.decompose_normalised(training, RANK)))
 
 
+# With one factor the decomposition is a power iteration, which SQL can repeat.
+
+
+@query
+def svd_rank1_values(spark: SparkSession, sf: str) -> DataFrame:
+    values = svd.decompose(_brand(spark, sf), 1).singular_values()
+    return values.withColumn("s", stable_round(F.col("s"), 4))
+
+
+@query
+def svd_rank1_reconstruct(spark: SparkSession, sf: str) -> DataFrame:
+    rated = _brand(spark, sf)
+    every = grid_pairs(rated.select("user").distinct(), rated.select("item").distinct())
+    return _scores(svd.reconstruct(svd.decompose(rated, 1), every))
+
+
+@query
+def svd_rank1_rmse(spark: SparkSession, sf: str) -> DataFrame:
+    training, test = sampling.split_ratings(_brand(spark, sf), 80)
+    return _error(svdcf.evaluate_reconstruction(test, svd.decompose(training, 1)))
+
+
+@query
+def svditem_rank1_predict(spark: SparkSession, sf: str) -> DataFrame:
+    rated = _brand(spark, sf)
+    return _scores(svdcf.predict_by_features(rated, rated, svd.decompose(rated, 1)))
+
+
+@query
+def svditem_rank1_recommend(spark: SparkSession, sf: str) -> DataFrame:
+    rated = _brand(spark, sf)
+    return _scores(svdcf.recommend_by_features(rated, svd.decompose(rated, 1), 10))
+
+
+@query
+def svdplus_rank1_predict(spark: SparkSession, sf: str) -> DataFrame:
+    rated = _brand(spark, sf)
+    return _scores(svdcf.predict_normalised(rated, rated, svd.decompose_normalised(rated, 1)))
+
+
+@query
+def svdplus_rank1_rmse(spark: SparkSession, sf: str) -> DataFrame:
+    training, test = sampling.split_ratings(_brand(spark, sf), 80)
+    return _error(svdcf.evaluate_normalised(training, test, svd.decompose_normalised(training, 1)))
+
+
+@query
+def als_rank1_rmse(spark: SparkSession, sf: str) -> DataFrame:
+    error = als.train_and_evaluate(_brand(spark, sf), rank=1, iterations=30)
+    return error.withColumn("rmse", stable_round(F.col("rmse"), 4))
+
+
 @query
 def als_predict(spark: SparkSession, sf: str) -> DataFrame:
     rated = _brand(spark, sf)
