@@ -19,22 +19,66 @@ from ratingloom.functions.numeric import ratio
 from ratingloom.operators.gram import symmetric
 from ratingloom.operators.evaluate import rmse
 from ratingloom.operators.index import dense_index
+from ratingloom.operators.product import best_by_blocks, measure, meeting, wanted_by_blocks
 from ratingloom.operators.rank import TOP, top_items
 
 
-def predict(pairs: DataFrame, cells: DataFrame, cosine: DataFrame) -> DataFrame:
-    """Scores for the given ``user, item`` pairs.
+def predict(pairs: DataFrame, cells: DataFrame, cosine: DataFrame, **blocks) -> DataFrame:
+    """Scores for the given ``user, item`` pairs: ``user, item, score``.
 
-    Driven by the pairs: the work is pairs times ratings per user.  The cosine
-    lookup has two keys, so a popular item does not gather in one task.  Pairs
-    with an unknown user or item get no row.
+    Pairs with an unknown user or item get no row.  Computed in blocks or, where
+    that would move more, by joining each pair with the ratings of its user.
+    """
+    wanted = pairs.select("user", "item").distinct()
+    left, right, profile = _product_sides(cells, cosine)
+    shape = measure(left, right, meeting(pairs, cells, "user"), **blocks)
+    if shape.use_blocks:
+        return wanted_by_blocks(left, right, profile, wanted, shape)
+    return _predict_by_join(wanted, cells, cosine)
+
+
+def recommend(cells: DataFrame, cosine: DataFrame, n: int = TOP, **blocks) -> DataFrame:
+    """The ``n`` best unrated items of every user: ``user, rank, item, score``.
+
+    Where the ratings meet many similar items, scores are computed in blocks;
+    otherwise through a join.  What each would move is measured first.
+    """
+    left, right, profile = _product_sides(cells, cosine)
+    shape = measure(left, right, **blocks)
+    if shape.use_blocks:
+        return best_by_blocks(left, right, profile, cells.select("user", "item"), n, shape)
+    return _recommend_by_join(cells, cosine, n)
+
+
+def evaluate(cells: DataFrame, test: DataFrame, cosine: DataFrame) -> DataFrame:
+    """RMSE of the predictions for the test ratings."""
+    return rmse(predict(test, cells, cosine), test)
+
+
+def _product_sides(cells: DataFrame, cosine: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ratings, similarities and each user's own terms, as a product of matrices."""
+    left = cells.select("user", F.col("item").alias("k"), F.col("rating").alias("x1"), F.lit(1.0).alias("x2"))
+    both = symmetric(cosine, "sim").select(F.col("i").alias("k"), F.col("j").alias("item"), "sim")
+    # With itself at zero, so that an item without neighbours is not forgotten.
+    both = both.union(cells.select("item").distinct().select("item", "item", F.lit(0.0)))
+    right = both.select("k", "item", F.col("sim").alias("y1"), F.col("sim").alias("y2"))
+    profile = cells.groupBy("user").agg(
+        F.sum("rating").alias("above"), F.count(F.lit(1)).cast("double").alias("below")
+    )
+    return left, right, profile
+
+
+def _predict_by_join(wanted: DataFrame, cells: DataFrame, cosine: DataFrame) -> DataFrame:
+    """The work is pairs times ratings per user.
+
+    The cosine lookup has two keys, so a popular item does not gather in one task.
     """
     known_items = cells.select("item").distinct()
-    wanted = pairs.select("user", "item").distinct().join(known_items, "item", "left_semi")
     rated = cells.select("user", F.col("item").alias("other"), "rating")
     lookup = cosine.select(F.col("i").alias("lo"), F.col("j").alias("hi"), "sim")
     met = (
-        wanted.join(rated, "user")
+        wanted.join(known_items, "item", "left_semi")
+        .join(rated, "user")
         .withColumn("lo", F.least("item", "other"))
         .withColumn("hi", F.greatest("item", "other"))
         .join(lookup, ["lo", "hi"], "left")
@@ -50,19 +94,18 @@ def predict(pairs: DataFrame, cells: DataFrame, cosine: DataFrame) -> DataFrame:
     )
 
 
-def recommend(cells: DataFrame, cosine: DataFrame, n: int = TOP) -> DataFrame:
-    """The ``n`` best unrated items of every user: ``user, rank, item, score``.
+def _recommend_by_join(cells: DataFrame, cosine: DataFrame, n: int) -> DataFrame:
+    """Items similar to a rated one are scored through the similarity table.
 
-    Items similar to a rated one are scored through the similarity table.  All
-    other unrated items tie at the user's mean, and ties go by item, so only the
-    first ``n`` of them can matter; they are found without pairing users with
+    All other unrated items tie at the user's mean, and ties go by item, so only
+    the first ``n`` of them can matter; they are found without pairing users with
     items.
     """
     profile = cells.groupBy("user").agg(
         F.sum("rating").alias("total"), F.count(F.lit(1)).alias("n")
     )
-    items = dense_index(cells.select("item").distinct(), ["item"])
     neighbours = symmetric(cosine, "sim").select(F.col("i").alias("item"), F.col("j"), "sim")
+    items = dense_index(cells.select("item").distinct(), ["item"])
     # Rated cells join the union as rows that only mark the pair as taken.
     touched = (
         cells.join(neighbours, "item")
@@ -83,11 +126,6 @@ def recommend(cells: DataFrame, cosine: DataFrame, n: int = TOP) -> DataFrame:
     return top_items(scored.union(at_mean), n)
 
 
-def evaluate(cells: DataFrame, test: DataFrame, cosine: DataFrame) -> DataFrame:
-    """RMSE of the predictions for the test ratings."""
-    return rmse(predict(test, cells, cosine), test)
-
-
 def _scored(sums: DataFrame) -> DataFrame:
     return sums.select(
         "user", "item",

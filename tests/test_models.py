@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ratingloom.operators import als, gram, itemcf, similarity, svd, svdcf, usercf
+from ratingloom.operators import als, gram, itemcf, product, similarity, svd, svdcf, usercf
 from ratingloom.operators.grid import best_unrated
 from ratingloom.sources import tables
 
@@ -92,41 +92,65 @@ def test_sparse_blocks():
     assert found == pytest.approx(wanted)
 
 
-def test_item_cf(matrix, cells, every):
+@pytest.fixture(params=[True, False], ids=["blocks", "join"])
+def way(request, monkeypatch):
+    monkeypatch.setattr(product.Shape, "use_blocks", property(lambda self: request.param))
+
+
+def test_item_cf(way, matrix, cells, every):
     cosine = similarity.item_cosine(cells, long_row=4)
     wanted = item_scores(matrix, cosine_of(matrix))
-    found = scores(itemcf.predict(every, cells, cosine))
+    found = scores(itemcf.predict(every, cells, cosine, cells_per_block=60, keys_per_block=8))
     assert found == pytest.approx({(u, i): wanted[u, i] for u, i in found})
     assert len(found) == matrix.size
     for n in (1, 4, 100):
-        assert lists(itemcf.recommend(cells, cosine, n)) == best_of(matrix, wanted, n)
+        found = itemcf.recommend(cells, cosine, n, cells_per_block=60, keys_per_block=8)
+        assert lists(found) == best_of(matrix, wanted, n)
 
 
-def test_unknown_pairs_get_no_score(spark, cells):
+def test_unknown_pairs_get_no_score(spark, way, cells):
     cosine = similarity.item_cosine(cells)
     strange = spark.createDataFrame([(0, 999), (999, 0)], "user long, item long")
     assert itemcf.predict(strange, cells, cosine).isEmpty()
     assert usercf.predict(strange, cells, similarity.user_cosine(cells)).isEmpty()
 
 
-def test_user_cf(matrix, cells, every):
+def test_user_cf(way, matrix, cells, every):
     cosine = cosine_of(matrix.T)
     weight = np.where(cosine != 0, 0.5 + 0.5 * cosine, 0.0)
     with np.errstate(invalid="ignore"):
         wanted = (weight @ matrix) / (weight @ (matrix != 0))
     table = similarity.user_cosine(cells, long_row=4)
-    found = scores(usercf.predict(every, cells, table))
+    found = scores(usercf.predict(every, cells, table, cells_per_block=60, keys_per_block=8))
     assert found == pytest.approx({(u, i): wanted[u, i] for u, i in zip(*np.nonzero(~np.isnan(wanted)))})
-    assert lists(usercf.recommend(cells, table, 5)) == best_of(matrix, wanted, 5)
+    assert lists(usercf.recommend(cells, table, 5, cells_per_block=60, keys_per_block=8)) == best_of(matrix, wanted, 5)
 
 
-def test_no_neighbour_means_no_score(spark):
+def test_no_neighbour_means_no_score(spark, way):
     rows = [(0, 0, 3.0), (1, 1, 4.0), (2, 1, 5.0), (2, 2, 1.0)]
     alone = spark.createDataFrame(rows, "user long, item long, rating double")
     found = scores(usercf.recommend(alone, similarity.user_cosine(alone)))
     assert found == {(1, 2): 1.0}
 
 
+def test_item_without_neighbour_is_still_offered(spark, way):
+    rows = [(0, 0, 3.0), (1, 1, 4.0), (1, 2, 2.0)]
+    alone = spark.createDataFrame(rows, "user long, item long, rating double")
+    found = scores(itemcf.recommend(alone, similarity.item_cosine(alone)))
+    assert found == pytest.approx({(0, 1): 3.0, (0, 2): 3.0, (1, 0): 3.0})
+
+
+def test_ways_are_measured(cells):
+    cosine = similarity.item_cosine(cells)
+    left = cells.select("user", F.col("item").alias("k"))
+    right = gram.symmetric(cosine, "sim").select(F.col("i").alias("k"), F.col("j").alias("item"))
+    shape = product.measure(left, right)
+    assert shape.joined_rows == left.join(right, "k").count()
+    assert shape.block_rows == left.count() * shape.items.total + right.count() * shape.users.total
+    one_each = product.measure(left, right, cells_per_block=1, keys_per_block=1)
+    assert not one_each.use_blocks
+
+
 def test_svd_models(matrix, cells, every):
     k = 3
     u, s, vt = np.linalg.svd(matrix, full_matrices=False)
