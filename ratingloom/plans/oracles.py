@@ -220,7 +220,7 @@ partner AS (SELECT a AS item, b AS partner FROM pair UNION ALL SELECT b, a FROM
     weights = f"""
 SELECT items, CAST(count(*) AS BIGINT) AS weight
 FROM (SELECT basket, string_agg(NAME, ',' ORDER BY NAME) AS items FROM ({BASKETS}) GROUP BY 1) GROUP BY 1"""
-    return {
+    sql = {
         "apriori_pairs": _sets(0.01, "size <= 2", "> floor"),
         "apriori_level1": _sets(0.002, "size = 1"),
         "apriori_level2": _sets(0.002, "size = 2"),
@@ -336,3 +336,6 @@ things AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS col FROM cells
 SELECT CAST(row AS BIGINT) AS row, CAST(col AS INT) AS col, rating AS value
 FROM cells JOIN people USING ("user") JOIN things USING (item) WHERE rating <> 0""",
     }
+    for name in ("itemcf_recommend", "usercf_predict", "usercf_recommend"):
+        sql[f"{name}_blocks"] = sql[name]
+    return sql

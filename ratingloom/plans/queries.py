@@ -322,6 +322,13 @@ def itemcf_recommend(spark: SparkSession, sf: str) -> DataFrame:
     return _scores(itemcf.recommend(rated, _item_model(rated), 10))
 
 
+@query
+def itemcf_recommend_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, computed in blocks however small the tables are."""
+    rated = _brand(spark, sf)
+    return _scores(itemcf.recommend(rated, _item_model(rated), 10, join_limit=0))
+
+
 @query
 def itemcf_rmse(spark: SparkSession, sf: str) -> DataFrame:
     training, test = sampling.split_ratings(_brand(spark, sf), 80)
@@ -340,6 +347,19 @@ def usercf_recommend(spark: SparkSession, sf: str) -> DataFrame:
     return _scores(usercf.recommend(rated, _user_model(rated)))
 
 
+@query
+def usercf_predict_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, computed in blocks however small the tables are."""
+    rated = _supplier(spark, sf)
+    return _scores(usercf.predict(rated, rated, _user_model(rated), join_limit=0))
+
+
+@query
+def usercf_recommend_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    rated = _supplier(spark, sf)
+    return _scores(usercf.recommend(rated, _user_model(rated), join_limit=0))
+
+
 @query
 def usercf_rmse(spark: SparkSession, sf: str) -> DataFrame:
     training, test = sampling.split_ratings(_supplier(spark, sf), 80)

@@ -94,6 +94,7 @@ def test_sparse_blocks():
 
 @pytest.fixture(params=[True, False], ids=["blocks", "join"])
 def way(request, monkeypatch):
+    monkeypatch.setattr(product, "JOIN_LIMIT", -1)
     monkeypatch.setattr(product.Shape, "use_blocks", property(lambda self: request.param))
 
 
@@ -144,10 +145,11 @@ def test_ways_are_measured(cells):
     cosine = similarity.item_cosine(cells)
     left = cells.select("user", F.col("item").alias("k"))
     right = gram.symmetric(cosine, "sim").select(F.col("i").alias("k"), F.col("j").alias("item"))
-    shape = product.measure(left, right)
+    assert not product.measure(left, right).use_blocks
+    shape = product.measure(left, right, join_limit=0)
     assert shape.joined_rows == left.join(right, "k").count()
     assert shape.block_rows == left.count() * shape.items.total + right.count() * shape.users.total
-    one_each = product.measure(left, right, cells_per_block=1, keys_per_block=1)
+    one_each = product.measure(left, right, cells_per_block=1, keys_per_block=1, join_limit=0)
     assert not one_each.use_blocks
 
 
