@@ -178,7 +178,7 @@ def _direct(gram, basis, mixing, k):
     eigenvalues, vectors = np.linalg.eigh(dense)
     eigenvalues, vectors = eigenvalues[::-1], vectors[:, ::-1]
     k = _kept(eigenvalues, k)
-    rows = pd.DataFrame({"item": ids, "f": list(vectors[:, :k])})
+    rows = [(int(item), row.tolist()) for item, row in zip(ids, vectors[:, :k])]
     return spark.createDataFrame(rows, "item long, f array<double>"), np.sqrt(eigenvalues[:k]).tolist()
 
 
