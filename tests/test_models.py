@@ -201,3 +201,12 @@ def test_als(spark, sf):
     explicit = als.train_and_evaluate(ratings, rank=3, iterations=3).first()["rmse"]
     implicit = als.train_and_evaluate(ratings, implicit=True, rank=3, iterations=3).first()["rmse"]
     assert 0 < explicit < 3 and 0 < implicit <= 1
+
+
+def test_svd_without_arrow(spark, matrix, cells):
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    try:
+        values = svd.decompose(cells, 3).singular_values().orderBy("f").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    assert [r["s"] for r in values] == pytest.approx(np.linalg.svd(matrix)[1][:3])
