@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,8 +34,6 @@ BLOCK_SCHEMA = (
 
 def pack_block(ids: np.ndarray, kind: str = "bit", level: int = 3) -> tuple[list[int], bytes]:
     """The compressed size of each plane, and the planes one after the other."""
-    import zstandard
-
     squeeze = zstandard.ZstdCompressor(level=level)
     raw = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
     sizes, parts = [], []
@@ -54,8 +53,6 @@ def pack_block(ids: np.ndarray, kind: str = "bit", level: int = 3) -> tuple[list
 
 def unpack_block(n: int, kind: str, sizes: list[int], payload: bytes) -> np.ndarray:
     """The block's ids."""
-    import zstandard
-
     expand = zstandard.ZstdDecompressor()
     raw = np.zeros((n, 4), np.uint8)
     at = 0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingloom.llm import bitplane, mixing, packing
+from ratingloom.llm import bitplane, bloom_lm, mixing, packing, quality
 from ratingloom.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,3 +38,14 @@ def op7_bitplane_ids(spark: SparkSession, sf: str) -> DataFrame:
 def op8_apportioned_mix(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op6_bloom_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return bloom_lm.score(table(spark, sf, "documents"))
+
+
+@query
+def op10_attention_quality(spark: SparkSession, sf: str) -> DataFrame:
+    judged = quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return judged.select("doc_id", "held_out", "score", "predicted")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,3 +52,24 @@ def as_array(blob: bytes, kind: str) -> np.ndarray:
 def frame(**columns: object) -> pd.DataFrame:
     """A pandas frame from named columns."""
     return pd.DataFrame(columns)
+
+
+def carried(df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], more: str) -> DataFrame:
+    """``df`` with columns that ``function`` computes from frames of ``text``.
+
+    Only the text goes through Python as pandas columns; the other columns are
+    carried along as Arrow arrays, so no type or null changes on the way.
+    """
+    added = _parse_datatype_string(more)
+    schema = StructType([*df.schema.fields, *added.fields])
+    shape = to_arrow_schema(schema)
+    place = df.columns.index("text")
+    names = added.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (found,) = function(iter([pd.DataFrame({"text": batch.column(place).to_pandas()})]))
+            new = [pa.array(found[n], shape.field(n).type) for n in names]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema=shape)
+
+    return df.mapInArrow(run, schema)

@@ -6,6 +6,7 @@ number depends on its bytes alone, so it is the same in every task.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -58,46 +59,58 @@ def powers(base: int, n: int) -> np.ndarray:
     return _POWERS[base][:n]
 
 
-def _chunk(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The words' numbers and, for each text, how many words it has."""
-    sizes = np.array([len(t) + 1 for t in texts])
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    if lower:
-        data = _LOWER[data]
-    space = _SPACE[data]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if not space[0]:
-        edge = np.concatenate(([0], edge))
-    starts, ends = edge[0::2], edge[1::2]
-    n = len(data)
-    running = np.zeros(n + 1, _U)
-    np.cumsum(_BYTE[data] * powers(_BASE, n), out=running[1:])
-    hashed = mix((running[ends] - running[starts]) * powers(_UNBASE, n)[starts])
-    counts = np.diff(np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes)))))
-    return hashed, counts
-
-
-def word_arrays(texts: pd.Series, lower: bool) -> Iterator[np.ndarray]:
-    """For each text its words' numbers; a null text has none."""
+class Chunk:
+    """Several texts' bytes with the place and number of every word."""
+
+    def __init__(self, texts: list[bytes], lower: bool = False) -> None:
+        sizes = np.array([len(t) + 1 for t in texts])
+        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        self.raw = data
+        if lower:
+            data = _LOWER[data]
+        space = _SPACE[data]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if not space[0]:
+            edge = np.concatenate(([0], edge))
+        self.starts, self.ends = edge[0::2], edge[1::2]
+        n = len(data)
+        running = np.zeros(n + 1, _U)
+        np.cumsum(_BYTE[data] * powers(_BASE, n), out=running[1:])
+        self.hashed = mix((running[self.ends] - running[self.starts]) * powers(_UNBASE, n)[self.starts])
+        #: Where each text begins in the bytes, with the end.
+        self.bounds = np.concatenate(([0], np.cumsum(sizes)))
+        #: How many words each text has.
+        self.counts = np.diff(np.searchsorted(self.starts, self.bounds))
+
+
+def as_bytes(text: str | None) -> bytes:
+    """A text's bytes; a null text is empty."""
+    return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+
+
+def chunked(texts: pd.Series) -> Iterator[list[bytes]]:
+    """Texts in their order, in lists of about :data:`CHUNK_BYTES`."""
     block: list[bytes] = []
     size = 0
-
-    def flush() -> Iterator[np.ndarray]:
-        hashed, counts = _chunk(block, lower)
-        at = 0
-        for n in counts.tolist():
-            yield hashed[at : at + n]
-            at += n
-
     for text in texts:
-        raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+        raw = as_bytes(text)
         block.append(raw)
         size += len(raw) + 1
         if size >= CHUNK_BYTES:
-            yield from flush()
+            yield block
             block, size = [], 0
     if block:
-        yield from flush()
+        yield block
+
+
+def word_arrays(texts: pd.Series, lower: bool) -> Iterator[np.ndarray]:
+    """For each text its words' numbers; a null text has none."""
+    for block in chunked(texts):
+        chunk = Chunk(block, lower)
+        at = 0
+        for n in chunk.counts.tolist():
+            yield chunk.hashed[at : at + n]
+            at += n
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:
@@ -127,6 +140,4 @@ class Runs:
 
 def fingerprint(numbers: np.ndarray) -> bytes:
     """128 bits that stand for a sequence of numbers."""
-    import hashlib
-
     return hashlib.blake2b(np.ascontiguousarray(numbers).tobytes(), digest_size=16).digest()
