@@ -95,3 +95,23 @@ took AS (
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
 FROM dealt LEFT JOIN took USING (line)
 """
+
+_SQL["op9_substring_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, pos, md5(array_to_string(words[pos:pos + 49], ' ')) AS run
+  FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 49)) AS pos FROM split WHERE len(words) >= 50)),
+firsts AS (SELECT run, min(doc_id) AS smallest FROM windows GROUP BY run),
+covered AS (
+  SELECT DISTINCT doc_id, pos + step AS pos
+  FROM windows JOIN firsts USING (run), (SELECT unnest(generate_series(0, 49)) AS step)
+  WHERE doc_id > smallest),
+numbered AS (SELECT doc_id, words, unnest(generate_series(1, len(words))) AS pos FROM split),
+kept AS (
+  SELECT doc_id, count(*) AS n_kept, string_agg(words[pos], ' ' ORDER BY pos) AS text
+  FROM numbered ANTI JOIN covered USING (doc_id, pos) GROUP BY doc_id)
+SELECT s.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n_kept, 0))::BIGINT AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k USING (doc_id)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingloom.llm import bitplane, bloom_lm, mixing, packing, quality
+from ratingloom.llm import bitplane, bloom_lm, mixing, packing, quality, repeats
 from ratingloom.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +49,9 @@ def op6_bloom_lm(spark: SparkSession, sf: str) -> DataFrame:
 def op10_attention_quality(spark: SparkSession, sf: str) -> DataFrame:
     judged = quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
     return judged.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, sf, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
