@@ -115,3 +115,29 @@ SELECT s.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n_kept, 0
        sha256(coalesce(k.text, '')) AS kept_sha256
 FROM split s LEFT JOIN kept k USING (doc_id)
 """
+
+_SQL["op5_ngram_join"] = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[pos:pos + 3], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(1, len(words) - 3))) AS pos FROM split WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * both_have >= 85 * (x.n + y.n - both_have)),
+directed AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents
+  UNION
+  SELECT r.node, d.b FROM reached r JOIN directed d ON d.a = r.seen),
+smallest AS (SELECT node AS doc_id, min(seen) AS component_id FROM reached GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM documents d JOIN smallest USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""

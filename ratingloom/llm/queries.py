@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingloom.llm import bitplane, bloom_lm, mixing, packing, quality, repeats
+from ratingloom.llm import bitplane, bloom_lm, mixing, ngram_join, packing, quality, repeats
 from ratingloom.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,3 +55,8 @@ def op10_attention_quality(spark: SparkSession, sf: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     cut = repeats.remove_repeats(table(spark, sf, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op5_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf, "documents"))
