@@ -118,7 +118,7 @@ def write_ids(
     """Write ``documents`` (``doc_id, text``) as id blocks, in ascending ``doc_id``.
 
     ``end_id`` closes every document.  A null or empty text gives the end id alone,
-    a null ``doc_id`` comes first, rows with one id go by their text, and an
+    a null ``doc_id`` comes first, rows with one id go by a hash of their text, and an
     empty table gives an empty set of files.
     """
     spark = documents.sparkSession
@@ -143,8 +143,10 @@ def write_ids(
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     count = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = chosen.repartitionByRange(count, "doc_id", "text").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encoded, BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    # A hash stands for the text among rows with one id, so that no text is sampled for the ranges.
+    keyed = chosen.withColumn("text_hash", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(count, "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "text")
+    ordered.select("doc_id", "text").mapInArrow(encoded, BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
 _POLYNOMIAL = 0xEDB88320
