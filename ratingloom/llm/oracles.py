@@ -141,3 +141,36 @@ smallest AS (SELECT node AS doc_id, min(seen) AS component_id FROM reached GROUP
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
 FROM documents d JOIN smallest USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
+
+_SQL["op1_threshold_topk"] = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS parts
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.parts, c.parts)::BIGINT AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 20 = 0),
+ranked AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+  FROM scored)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+_SQL["op3_forest_dedup"] = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reached AS (
+  SELECT vec_id AS node, vec_id AS seen FROM embeddings
+  UNION
+  SELECT r.node, l.b FROM reached r JOIN links l ON l.a = r.seen),
+smallest AS (SELECT node AS vec_id, min(seen) AS component_id FROM reached GROUP BY node),
+counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN smallest USING (vec_id) LEFT JOIN counted USING (vec_id)
+"""

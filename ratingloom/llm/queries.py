@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingloom.llm import bitplane, bloom_lm, mixing, ngram_join, packing, quality, repeats
+from ratingloom.llm import bitplane, bloom_lm, forest, mixing, ngram_join, packing, quality, repeats, topk
 from ratingloom.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +60,13 @@ def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op5_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.join(table(spark, sf, "documents"))
+
+
+@query
+def op1_threshold_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(table(spark, sf, "embeddings"))
+
+
+@query
+def op3_forest_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return forest.near_vectors(table(spark, sf, "embeddings"))
