@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingloom.llm import bitplane, bloom_lm, forest, mixing, ngram_join, packing, quality, repeats, topk
+from ratingloom.llm import bitplane, bloom_lm, forest, mixing, ngram_join, packing, pages, quality, repeats, topk
 from ratingloom.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,8 @@ def op1_threshold_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op3_forest_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return forest.near_vectors(table(spark, sf, "embeddings"))
+
+
+@query
+def op2_wrapper_text(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.main_text(table(spark, sf, "pages"))
