@@ -41,7 +41,7 @@ DEPTH = 40
 #: Pages that a host must have before a constant slot inside an article is taken for template.
 CONSTANT_PAGES = 5
 #: Share of equal nodes from which a shape joins a template.
-ALIKE = 0.4
+ALIKE = 0.6
 
 # Fixed values of the HTML language.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
