@@ -39,7 +39,7 @@ from ratingloom.session import stage
 
 #: Stand for the end of a text and for its start (a context only).
 END, START = np.uint64(0xE4D0000000000001), np.uint64(0x57A4000000000001)
-BLOCK_WORDS = 2 << 20
+BLOCK_WORDS = 1 << 20
 BITS_PER_ENTRY = 12
 PROBES = 6
 MAX_LEVEL = 24
@@ -127,7 +127,7 @@ def word_blocks(documents: DataFrame, modulus: int, remainder: int) -> DataFrame
             return pa.RecordBatch.from_pylist([row], schema=shape)
 
         for batch in batches:
-            words = word_arrays(batch.column("text").to_pandas(), lower=True)
+            words = word_arrays((t.as_py() for t in batch.column("text")), lower=True)
             for doc_id, out, found in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), words):
                 ids.append(doc_id)
                 held.append(out)
@@ -253,7 +253,7 @@ def score(
     modulus: int = 7,
     remainder: int = 2,
     mu: float = 4.0,
-    broadcast_bytes: int = 96 << 20,
+    broadcast_bytes: int = 128 << 20,
     buckets: int | None = None,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.

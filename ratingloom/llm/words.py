@@ -8,10 +8,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _U = np.uint64
@@ -88,7 +87,7 @@ def as_bytes(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
-def chunked(texts: pd.Series) -> Iterator[list[bytes]]:
+def chunked(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
     """Texts in their order, in lists of about :data:`CHUNK_BYTES`."""
     block: list[bytes] = []
     size = 0
@@ -103,7 +102,7 @@ def chunked(texts: pd.Series) -> Iterator[list[bytes]]:
         yield block
 
 
-def word_arrays(texts: pd.Series, lower: bool) -> Iterator[np.ndarray]:
+def word_arrays(texts: Iterable[str | None], lower: bool) -> Iterator[np.ndarray]:
     """For each text its words' numbers; a null text has none."""
     for block in chunked(texts):
         chunk = Chunk(block, lower)
