@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratingloom.session import stage
 
 
+def spanned(left: np.ndarray, right: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of 0 .. ``count``-1 that have links, and the smallest node each is connected with."""
+    label = np.arange(count)
+    while len(left):
+        before = label.copy()
+        low = np.minimum(label[left], label[right])
+        np.minimum.at(label, left, low)
+        np.minimum.at(label, right, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    linked = np.zeros(count, bool)
+    linked[left] = linked[right] = True
+    nodes = np.flatnonzero(linked)
+    return nodes, label[nodes]
+
+
 def _mark(links: DataFrame) -> tuple:
     row = links.agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("mark")

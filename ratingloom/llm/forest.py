@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingloom.llm.components import components
+from ratingloom.llm.components import components, spanned
 from ratingloom.llm.rows import as_array
 from ratingloom.session import stage
 
@@ -180,7 +180,7 @@ def _compared(nodes: DataFrame, leaves: DataFrame, bound: float, tile: int) -> D
         for k, a in enumerate(group["all_leaves"]):
             lists[k, : len(a)] = a
         mine = group["mine"].to_numpy()
-        links, label = np.zeros(len(group), np.int64), np.arange(len(group))
+        links = np.zeros(len(group), np.int64)
         lefts, rights = [], []
         for at in range(0, len(group), 512):
             near = matrix[at : at + 512] @ matrix.T >= bound * norms[at : at + 512, None] * norms
@@ -204,20 +204,11 @@ def _compared(nodes: DataFrame, leaves: DataFrame, bound: float, tile: int) -> D
                 np.add.at(links, a[first], weights[b[first]])
                 np.add.at(links, b[first], weights[a[first]])
         i, j = np.concatenate(lefts), np.concatenate(rights)
-        while len(i):
-            low = np.minimum(label[i], label[j])
-            before = label.copy()
-            np.minimum.at(label, i, low)
-            np.minimum.at(label, j, low)
-            label = label[label]
-            if (label == before).all():
-                break
+        linked, first = spanned(i, j, len(group))
         # The smallest id of each group stands for it.
         roots = np.full(len(group), np.iinfo(np.int64).max)
-        np.minimum.at(roots, label, ids)
-        linked = np.zeros(len(group), bool)
-        linked[i] = linked[j] = True
-        return pd.DataFrame({"node": ids[linked], "links": links[linked], "root": roots[label[linked]]})
+        np.minimum.at(roots, first, ids[linked])
+        return pd.DataFrame({"node": ids[linked], "links": links[linked], "root": roots[first]})
 
     return (
         placed.join(described, "node").groupBy("leaf", "one", "two").applyInPandas(compared, "node long, links long, root long")

@@ -9,14 +9,15 @@ they are among the least ones of one of the two.  Inverted lists are kept for th
 * Lists of at most ``SHORT`` documents are merged: every pair of the list is
   counted.  A document with ``L`` longer lists must meet a partner in at least
   ``n - T + 2 - L`` short ones; pairs below that are gone.
-* Long lists are not merged (DivideSkip); what they would add is settled by probing
-  the partner's sorted elements.
-* If nearly all of a document's lists are long, it is one of a large group of near
-  copies.  Such documents are first compared with a leader that many of their lists
-  name; only pairs between different components are left to be counted over
-  the long lists, and the components shrink these to few or none.
-
-Every candidate is verified on whole sets.  Equal sets are one node throughout.
+* Long lists are not merged (DivideSkip).  Two documents that meet in long lists only
+  both have very many of them, as near copies in a large group do.  Of those
+  documents' long lists, rarest first, so many are taken that such a pair must meet in
+  one; each names its smallest document as a possible partner of all others.
+
+These candidates are links of a graph; its components are compared on whole sets, in
+tiles of bounded size, by the tile's own inverted lists.  Nothing is kept per pair: a
+tile returns a link from every document to the smallest it is connected with.  Equal
+sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratingloom.llm.components import components
-from ratingloom.llm.rows import as_array, buckets_of
+from ratingloom.llm.components import components, spanned
+from ratingloom.llm.rows import as_array, buckets_of, sized
 from ratingloom.llm.words import fingerprint, grams, word_arrays
 from ratingloom.session import stage
 
@@ -37,9 +38,8 @@ from ratingloom.session import stage
 SHORT = 32
 #: Postings of one bucket of lists, about.
 BUCKET_POSTINGS = 1 << 19
-#: Rounds of leaders before the long lists are counted, at most, and the count below which no further one is worth it.
-LEADER_ROUNDS = 4
-FEW_PAIRS = 1_000_000
+#: Documents of a tile's side.
+TILE = 256
 
 
 def shingles_of(words: np.ndarray, width: int) -> np.ndarray:
@@ -107,7 +107,7 @@ def _merged(nodes: DataFrame, buckets: int, percent: int) -> DataFrame:
         numbers, owner, size = numbers[order], owner[order], size[order]
         first = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1]))
         length = np.diff(np.append(first, len(numbers)))
-        left, right = [], []
+        left, right = [np.zeros(0, int)], [np.zeros(0, int)]
         for k in range(2, SHORT + 1):
             begins = first[length == k]
             one, two = np.triu_indices(k, 1)
@@ -136,77 +136,102 @@ def _merged(nodes: DataFrame, buckets: int, percent: int) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(lists, "kind int, a long, b long, c long, na long, nb long")
 
 
-class _Sets:
-    """Whole sets of some documents, and the verification of pairs of them."""
-
-    def __init__(self, documents: DataFrame, wanted: DataFrame, width: int, percent: int) -> None:
-        def described(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                sets = [shingles_of(w, width).tobytes() for w in word_arrays(frame["text"], lower=True)]
-                yield pd.DataFrame({"doc_id": frame["doc_id"], "elements": sets})
-
-        chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
-        self._sets = stage(chosen.mapInPandas(described, "doc_id long, elements binary"), "join-sets")
-        self._percent = percent
-
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (``a, b``) that reach the bound."""
-        percent = self._percent
-
-        def verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                good = []
-                for one, two in zip(frame["one"], frame["two"]):
-                    x, y = as_array(one, "<u8"), as_array(two, "<u8")
-                    at = np.searchsorted(y, x)
-                    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                    good.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield frame.loc[good, ["a", "b"]]
-
-        one = self._sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("one"))
-        two = self._sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("two"))
-        joined = pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two")
-        return joined.mapInPandas(verified, "a long, b long").distinct()
-
-
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are not yet known to be connected."""
-    one = labels.select(F.col("node").alias("a"), F.col("component").alias("_a"))
-    two = labels.select(F.col("node").alias("b"), F.col("component").alias("_b"))
-    marked = pairs.join(one, "a", "left").join(two, "b", "left")
-    return marked.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).drop("_a", "_b")
-
-
-def _one_each(pairs: DataFrame) -> DataFrame:
-    """For each document its smallest partner: a link per document at most."""
-    return pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-
-
-def _leaders(postings: DataFrame, full: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """For each document of ``full`` the leader, of another component, that most of its long lists name."""
-    band = F.floor(F.log(F.col("na").cast("double")) * 5 + turn / LEADER_ROUNDS)
-    named = postings.join(labels.select(F.col("node").alias("b"), "component"), "b", "left").select(
-        F.col("a").alias("list"), "b", band.alias("band"), F.coalesce("component", "b").alias("label")
+def _possible(lists: DataFrame, percent: int) -> DataFrame:
+    """Candidate links ``a, b``: whoever links is connected by them."""
+    postings = lists.filter("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("doc"), F.col("na").alias("n"))
+    long = stage(postings.groupBy("doc").agg(F.count(F.lit(1)).alias("long"), F.min("n").alias("n")), "join-long")
+    merged = lists.filter("kind = 0").groupBy("a", "b").agg(
+        F.sum("c").alias("c"), F.min("na").alias("na"), F.min("nb").alias("nb")
     )
-    order = F.xxhash64(F.lit(turn), "b")
-    heads = named.groupBy("list", "band").agg(F.min_by("b", order).alias("leader"), F.min_by("label", order).alias("leads"))
-    counted = (
-        named.join(full, "b").join(heads, ["list", "band"])
-        .filter("label <> leads").groupBy("b", "leader").agg(F.count(F.lit(1)).alias("c"))
+    la = long.select(F.col("doc").alias("a"), F.col("long").alias("la"))
+    lb = long.select(F.col("doc").alias("b"), F.col("long").alias("lb"))
+    least = F.least(
+        _spare(F.col("na"), percent) - F.coalesce("la", F.lit(0)), _spare(F.col("nb"), percent) - F.coalesce("lb", F.lit(0))
     )
-    return counted.groupBy("b").agg(F.max_by("leader", F.struct("c", "leader")).alias("a"))
-
+    short = merged.join(la, "a", "left").join(lb, "b", "left").filter(F.col("c") >= least).select("a", "b")
+
+    # A pair without a common short list shares at least as many long ones as the smallest possible partner must.
+    must = _spare(F.ceil(F.col("n") * percent / 100), percent)
+    full = long.withColumn("take", F.col("long") - must + 1).filter("take > 0").select("doc", "take")
+    sizes = postings.groupBy("list").agg(F.count(F.lit(1)).alias("size"))
+    ranked = postings.join(stage(full, "join-full"), "doc").join(sizes, "list")
+    rarest = Window.partitionBy("doc").orderBy("size", "list")
+    used = ranked.withColumn("turn", F.row_number().over(rarest)).filter("turn <= take").select("list", "doc")
+    used = stage(used, "join-used")
+    heads = used.groupBy("list").agg(F.min("doc").alias("a"))
+    named = used.join(heads, "list").filter("doc <> a").select("a", F.col("doc").alias("b"))
+    return short.unionByName(named).distinct()
+
+
+def tile_links(sets: list[np.ndarray], groups: np.ndarray, sides: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a tile that reach the bound: of one group, and of both sides if there are two."""
+    sizes = np.array([len(s) for s in sets])
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, element, held = np.unique(every, return_inverse=True, return_counts=True)
+    # Elements of one document only add nothing.
+    shared = held[element] > 1
+    element, owner = element[shared], owner[shared]
+    order = np.argsort(element, kind="stable")
+    lists = owner[order]
+    starts = np.searchsorted(element[order], np.arange(len(held) + 1))
+    bounds = np.searchsorted(owner, np.arange(len(sets) + 1))
+    both_sides = len(np.unique(sides)) > 1
+    left, right = [], []
+    for a in range(len(sets)):
+        own = element[bounds[a] : bounds[a + 1]]
+        count = starts[own + 1] - starts[own]
+        at = np.repeat(starts[own] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+        common = np.bincount(lists[at], minlength=len(sets))
+        good = (100 * common >= percent * (sizes[a] + sizes - common)) & (groups == groups[a])
+        good[: a + 1] = False
+        if both_sides:
+            good &= sides != sides[a]
+        partners = np.flatnonzero(good)
+        left.append(np.full(len(partners), a))
+        right.append(partners)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _verified(documents: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``a, b`` that hold on whole sets and connect what is connected within ``clusters`` (``node, component``)."""
+    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    total = clusters.count()
+    bundles = max(1, total // TILE)
+    small = F.col("size") <= TILE
+    tiles = F.when(small, 1).otherwise(F.ceil(F.col("size") / TILE)).cast("int")
+    placed = clusters.join(sizes, "component").select(
+        F.col("node").alias("doc_id"), "component",
+        F.when(small, F.pmod(F.xxhash64("component"), F.lit(bundles))).otherwise(-1 - F.col("component")).alias("bundle"),
+        tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("side"),
+    )
+    chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sized(stage(placed, "join-placed")), "doc_id")
 
-def _crossing(postings: DataFrame, full: DataFrame, labels: DataFrame) -> DataFrame:
-    """Long lists' postings with labels, of the lists where a full document meets another component."""
-    marked = postings.join(labels.select(F.col("node").alias("b"), "component"), "b", "left").join(
-        full.withColumn("full", F.lit(True)), "b", "left"
-    ).select(F.col("a").alias("list"), "b", "na", F.coalesce("component", "b").alias("label"), F.coalesce("full", F.lit(False)).alias("full"))
-    mixed = marked.groupBy("list").agg(
-        F.min("label").alias("l0"), F.max("label").alias("l1"), F.sum(F.col("full").cast("long")).alias("f"),
-        F.count(F.lit(1)).alias("m"),
-    ).filter("l0 <> l1 and f > 0").select("list", "f", "m")
-    return marked.join(mixed, "list")
+    def described(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sets = [shingles_of(w, width).tobytes() for w in word_arrays(frame["text"], lower=True)]
+            yield frame.drop(columns="text").assign(elements=sets)
+
+    def compared(group: pd.DataFrame) -> pd.DataFrame:
+        group = group[group["elements"].str.len() > 0].sort_values(["doc_id", "elements"], kind="stable")
+        ids = group["doc_id"].to_numpy(np.int64)
+        if len(ids) < 2:
+            return pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+        sets = [as_array(e, "<u8") for e in group["elements"]]
+        i, j = tile_links(sets, group["component"].to_numpy(), group["side"].to_numpy(), percent)
+        # Rows come by id, so the first of each connected group is its smallest.
+        linked, roots = spanned(i, j, len(ids))
+        return pd.DataFrame({"a": ids[roots], "b": ids[linked]})
+
+    found = chosen.mapInPandas(
+        described, "doc_id long, component long, bundle long, tiles int, side int, elements binary"
+    )
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    dealt = found.withColumn("other", other).select(
+        "doc_id", "component", "bundle", "side", "elements",
+        F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"),
+    )
+    return dealt.groupBy("bundle", "one", "two").applyInPandas(compared, "a long, b long").filter("a <> b")
 
 
 def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -222,68 +247,18 @@ def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     sets = stage(shingle_sets(documents, width, percent), "join-profiles")
     usable = sets.filter("doc_id is not null and n > 0")
     classes = stage(usable.groupBy("print").agg(F.min("doc_id").alias("node")), "join-classes")
-    nodes = usable.join(classes, "print").filter("doc_id = node").dropDuplicates(["doc_id", "print"])
-    nodes = stage(nodes.select("doc_id", "n", "least"), "join-nodes")
-    postings_total = nodes.agg(F.coalesce(F.sum(F.length("least")), F.lit(0)).alias("n")).first()["n"] // 8
-    parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), postings_total // BUCKET_POSTINGS)
+    heads = sized(classes.select(F.col("node").alias("doc_id"), "print"))
+    nodes = usable.join(heads, ["doc_id", "print"], "left_semi").select("doc_id", "n", "least")
+    postings = sets.agg(F.coalesce(F.sum(F.length("least")), F.lit(0)).alias("n")).first()["n"] // 8
+    parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), postings // BUCKET_POSTINGS)
     lists = stage(_merged(nodes, parts, percent), "join-lists")
-
-    postings = lists.filter("kind = 1").select("a", "b", "na")
-    long = postings.groupBy("b").agg(F.count(F.lit(1)).alias("long"), F.min("na").alias("n"))
-    long = stage(long, "join-long")
-    merged = lists.filter("kind = 0").groupBy("a", "b").agg(
-        F.sum("c").alias("c"), F.min("na").alias("na"), F.min("nb").alias("nb")
-    )
-    la = long.select(F.col("b").alias("a"), F.col("long").alias("la"))
-    lb = long.select("b", F.col("long").alias("lb"))
-    least = F.least(
-        _spare(F.col("na"), percent) - F.coalesce("la", F.lit(0)), _spare(F.col("nb"), percent) - F.coalesce("lb", F.lit(0))
-    )
-    candidates = merged.join(la, "a", "left").join(lb, "b", "left").filter(F.col("c") >= least)
-    candidates = stage(candidates.select("a", "b"), "join-candidates")
-    full = stage(long.filter(F.col("long") >= _spare(F.col("n"), percent)).select("b"), "join-full")
-
-    # Whole sets of all that may be compared: candidates and, where documents are full, their lists' members.
-    met = postings.join(postings.join(full, "b").select("a").distinct(), "a").select(F.col("b").alias("doc_id"))
-    wanted = candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).union(met).distinct()
-    whole = _Sets(documents, stage(wanted, "join-wanted"), width, percent)
-
-    none = spark.createDataFrame([], "node long, component long")
-    links = stage(whole.linked(_one_each(candidates)), "join-links")
-    if not full.isEmpty():
-        for turn in range(LEADER_ROUNDS):
-            labels = stage(components(links), "join-labels") if not links.isEmpty() else none
-            left = _crossing(postings, full, labels).select("list", "f", "m").distinct()
-            pairs = left.agg(F.coalesce(F.sum(F.col("f") * F.col("m")), F.lit(0)).alias("n")).first()["n"]
-            if pairs <= FEW_PAIRS:
-                break
-            found = stage(whole.linked(_leaders(postings, full, labels, turn)), "join-links")
-            if found.isEmpty():
-                break
-            links = stage(links.unionByName(found), "join-links")
-    labels = stage(components(links), "join-labels") if not links.isEmpty() else none
-    rest = _across(candidates, labels)
-    if not full.isEmpty():
-        crossing = stage(_crossing(postings, full, labels), "join-crossing")
-        one = crossing.filter("full").select("list", F.col("b").alias("x"), F.col("na").alias("nx"), F.col("label").alias("lx"))
-        two = crossing.select("list", F.col("b").alias("y"), F.col("na").alias("ny"), F.col("label").alias("ly"))
-        near = (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent) & (F.col("lx") != F.col("ly"))
-        counted = one.join(two, "list").filter(near).groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(
-            F.countDistinct("list").alias("c"), F.min(F.least("nx", "ny")).alias("n")
-        )
-        short = lists.filter("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("more"))
-        counted = counted.join(short, ["a", "b"], "left")
-        enough = F.col("c") + F.coalesce("more", F.lit(0)) >= _spare(F.col("n"), percent)
-        rest = rest.unionByName(counted.filter(enough).select("a", "b")).distinct()
-    rest = stage(rest, "join-rest")
-    if not rest.isEmpty():
-        links = stage(links.unionByName(whole.linked(rest)), "join-links")
+    possible = stage(_possible(lists, percent), "join-possible")
+    clusters = stage(components(possible), "join-clusters")
+    links = _verified(documents, clusters, width, percent)
     # Documents whose texts fall into several classes join them.
     several = usable.join(classes, "print").filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    owned = nodes.select(F.col("doc_id").alias("a")).distinct()
-    links = links.unionByName(several.join(owned, "a").select("a", "b"))
-    labels = stage(components(links), "join-labels") if not links.isEmpty() else none
-
+    owned = classes.select(F.col("node").alias("a")).distinct()
+    labels = components(links.unionByName(several.join(owned, "a").select("a", "b")))
     placed = sets.select("doc_id", "n", "print").join(classes, "print", "left").join(labels, "node", "left")
     return placed.select(
         "doc_id", F.col("n").alias("n_shingles"),

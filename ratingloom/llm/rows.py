@@ -44,6 +44,18 @@ def bucket_cuts(sorted_numbers: np.ndarray, count: int) -> np.ndarray:
     return np.searchsorted(buckets_of(sorted_numbers, count), np.arange(count + 1))
 
 
+#: Rows of numbers and short keys that may be sent to every worker: 64 MB at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written table of a few numbers a row, marked for broadcast if it has at most ``most`` rows.
+
+    A larger one is left to be joined by a shuffle.
+    """
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def as_array(blob: bytes, kind: str) -> np.ndarray:
     """A blob's numbers."""
     return np.frombuffer(blob, kind)

@@ -56,18 +56,17 @@ def brute_components(rows, width, percent):
     return sorted(((i, len(s), label.get(i)) for (i, _), s in zip(rows, sets)), key=str)
 
 
-@pytest.mark.parametrize("short,few", [(32, 1_000_000), (3, 0)])
-def test_join_agrees_with_brute_force(spark, monkeypatch, short, few):
+@pytest.mark.parametrize("short,tile", [(32, 256), (3, 256), (3, 16)])
+def test_join_agrees_with_brute_force(spark, monkeypatch, short, tile):
     monkeypatch.setattr(ngram_join, "SHORT", short)
-    monkeypatch.setattr(ngram_join, "FEW_PAIRS", few)
+    monkeypatch.setattr(ngram_join, "TILE", tile)
     df = near_copies(spark)
     found = sorted(map(tuple, ngram_join.join(df).collect()), key=str)
     assert found == brute_components([tuple(r) for r in df.collect()], 4, 85)
 
 
-def test_join_counts_long_lists_without_leaders(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SHORT", 2)
-    monkeypatch.setattr(ngram_join, "LEADER_ROUNDS", 0)
+def test_join_without_short_lists(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SHORT", 1)
     df = near_copies(spark, 6, (12, 4), 8)
     found = sorted(map(tuple, ngram_join.join(df, 5, 80).collect()), key=str)
     assert found == brute_components([tuple(r) for r in df.collect()], 5, 80)
