@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +18,11 @@ def stable_round(value: Column, digits: int = SCORE_DIGITS) -> Column:
     return F.round(value + F.lit(_HALF_NUDGE), digits)
 
 
+def stable_round_array(values: np.ndarray, digits: int = SCORE_DIGITS) -> np.ndarray:
+    """The same for an array."""
+    return np.round(values + _HALF_NUDGE, digits)
+
+
 def half_scale(cosine: Column) -> Column:
     """Map a cosine from [-1, 1] to a weight in [0, 1]."""
     return F.lit(0.5) + F.lit(0.5) * cosine
@@ -51,6 +57,8 @@ def dot(left: Column, right: Column) -> Column:
 
 def scale_by(vector: Column, factors: list[float]) -> Column:
     """Element-wise product of an array with fixed factors."""
+    if not factors:
+        return vector
     weights = F.array(*[F.lit(float(x)) for x in factors])
     return F.zip_with(vector, weights, lambda a, b: a * b)
 

@@ -26,7 +26,6 @@ BLOCK_ROWS = 128
 _CELLS_PER_BLOCK = 64
 _DENSE_SHARE = 0.02
 PAIRS_PER_TASK = 1_000_000
-MAX_PARTS = 20_000
 
 _PAIR_SCHEMA = "i long, j long, dot double"
 
@@ -62,7 +61,7 @@ def pair_products(
     met = F.sum(F.when(~is_long, F.col("n").cast("double") * F.col("n") / 2))
     size = lengths.agg(F.count_if(is_long).alias("long_rows"), met.alias("pairs")).first()
     long_rows = size["long_rows"]
-    parts = min(MAX_PARTS, max(1, math.ceil((size["pairs"] or 0) / PAIRS_PER_TASK)))
+    parts = max(1, math.ceil((size["pairs"] or 0) / PAIRS_PER_TASK))
     if not long_rows:
         return _summed(_short_pairs(cells, parts))
 
@@ -106,7 +105,7 @@ def _short_pairs(cells: DataFrame, parts: int) -> DataFrame:
     first = cells.select("r", F.col("c").alias("i"), "a")
     second = cells.select("r", F.col("c").alias("j"), "b")
     return (
-        first.join(second.hint("shuffle_hash"), "r")
+        first.join(second, "r")
         .filter(F.col("i") < F.col("j"))
         .select("i", "j", (F.col("a") * F.col("b")).alias("dot"))
     )
@@ -152,8 +151,12 @@ def _multiply_block(block: pd.DataFrame) -> pd.DataFrame:
         y = np.zeros((len(rows), len(right_cols)))
         x[r[in_lo], left] = a[in_lo]
         y[r[in_hi], right] = b[in_hi]
+        # Presence is kept apart from the value: a stored zero meets like any other.
+        here, there = np.zeros(x.shape, np.float32), np.zeros(y.shape, np.float32)
+        here[r[in_lo], left] = 1
+        there[r[in_hi], right] = 1
         product = x.T @ y
-        met = (x != 0).astype(np.float32).T @ (y != 0).astype(np.float32) > 0
+        met = here.T @ there > 0
         p, q = np.nonzero(met)
         dot = product[p, q]
     else:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingloom.functions.numeric import SCORE_DIGITS
+from ratingloom.functions.numeric import stable_round_array
 from ratingloom.operators.rank import TOP, top_items
 
 USERS_PER_BLOCK = 8192
@@ -109,11 +109,14 @@ def _score_block(people: pd.DataFrame, things: pd.DataFrame, n: int) -> pd.DataF
             below = below + np.vstack(some["below_f"].to_numpy()) @ factors
         with np.errstate(divide="ignore", invalid="ignore"):
             scores = np.where(below == 0.0, np.nan, scores / below)
-        for at, known in enumerate(some["known"]):
-            if known is not None:
-                scores[at, np.isin(item_ids, known)] = np.nan
+        lists = [np.asarray(known if known is not None else [], dtype=np.int64) for known in some["known"]]
+        known = np.concatenate(lists)
+        owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        at = np.minimum(np.searchsorted(item_ids, known), len(item_ids) - 1)
+        met = item_ids[at] == known
+        scores[owner[met], at[met]] = np.nan
         # Items ascend within the block, so a stable sort breaks ties by item.
-        order = np.argsort(-np.round(scores, SCORE_DIGITS), axis=1, kind="stable")[:, :n]
+        order = np.argsort(-stable_round_array(scores), axis=1, kind="stable")[:, :n]
         best = np.take_along_axis(scores, order, axis=1)
         kept = ~np.isnan(best)
         parts.append(pd.DataFrame({

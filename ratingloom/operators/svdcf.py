@@ -59,6 +59,12 @@ def predict_normalised(pairs: DataFrame, cells: DataFrame, factors: Factors) ->
     fold into one vector and one number per target item.
     """
     k = len(factors.values)
+    if k == 0:
+        # All deviations vanish: nothing but the user's mean is left.
+        means = user_means(cells)
+        return pairs.select("user", "item").distinct().join(means, "user").join(factors.items.select("item"), "item").select(
+            "user", "item", F.col("user_mean").alias("score")
+        )
     unit = unit_features(item_features(factors, weighted=True))
     both = unit.join(factors.items.withColumnRenamed("f", "v"), "item")
     sums = both.agg(

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ratingloom.operators import als, cells, index, itemcf, itemsets, sampling, similarity, svd, svdcf, usercf
 from ratingloom.operators.fpgrowth import fp_itemsets
@@ -108,12 +109,12 @@ def decompose_sparse_rows(spark: SparkSession, path: str, output: str, k: int) -
 
 @job
 def reconstruct_dense_rows(spark: SparkSession, path: str, output: str, k: int) -> None:
-    """The rank-k matrix of a matrix in dense row text, as rows of values."""
-    rows = stage(src.dense_cells(src.read_dense_rows(spark, path)), "cells")
-    rated = rows.selectExpr("row AS user", "bigint(col) AS item", "value AS rating")
-    factors = svd.decompose(rated, k)
-    every = grid_pairs(rated.select("user").distinct(), rated.select("item").distinct())
-    out.dense_rows(svd.reconstruct(factors, every)).write.parquet(output)
+    """The rank-k matrix of a matrix in dense row text, as rows of values; as many rows and columns as the text has."""
+    lines = src.read_dense_rows(spark, path)
+    rated = stage(src.dense_cells(lines).selectExpr("row AS user", "bigint(col) AS item", "value AS rating"), "cells")
+    width = lines.agg(F.max(F.size("values"))).first()[0] or 0
+    every = grid_pairs(lines.select(F.col("row").alias("user")), spark.range(width).withColumnRenamed("id", "item"))
+    out.dense_rows(svd.reconstruct(svd.decompose(rated, k), every, fill=True)).write.parquet(output)
 
 
 @job

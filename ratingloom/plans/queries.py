@@ -99,7 +99,9 @@ def apriori_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _level(spark: SparkSession, sf: str, size: int) -> DataFrame:
     levels = itemsets.apriori(_basket_cells(spark, sf), _count(spark, sf, TRIPLE_SUPPORT), size + 1)
-    return _sets(list(levels)[size - 1])
+    found = list(levels)
+    # Levels end with the last that has a set.
+    return _sets(found[size - 1] if size <= len(found) else found[-1].filter("false"))
 
 
 @query
@@ -618,8 +620,8 @@ def level_folders_text(spark: SparkSession, sf: str) -> DataFrame:
         src.read_lines(spark, f"{path}/{k}").withColumn("size", F.lit(k).cast("long"))
         for k in range(1, found + 1)
     ]
-    whole = levels[0]
-    for level in levels[1:]:
+    whole = spark.createDataFrame([], "value string, size long")
+    for level in levels:
         whole = whole.union(level)
     return whole
 

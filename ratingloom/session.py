@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextvars
 import os
 import shutil
 import tempfile
@@ -13,7 +14,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
-_SCOPES: list[list[str]] = []
+_SCOPES: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
 
 
 def session(app_name: str = "ratingloom", **conf: str) -> SparkSession:
@@ -58,8 +59,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path for ``label`` under this application's scratch folder."""
     app = spark.sparkContext.applicationId
     path = f"{_shared_root(spark)}/ratingloom-{app}/{label}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if _SCOPES.get():
+        _SCOPES.get()[-1].append(path)
     return path
 
 
@@ -97,11 +98,13 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
     For jobs that write their result; a DataFrame made inside must not be read
     afterwards.
     """
-    _SCOPES.append([])
+    folders: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), folders))
     try:
         yield
     finally:
-        for folder in _SCOPES.pop():
+        _SCOPES.reset(token)
+        for folder in folders:
             _delete(spark, folder)
 
 
