@@ -39,7 +39,7 @@ from ratingloom.session import stage
 
 #: Stand for the end of a text and for its start (a context only).
 END, START = np.uint64(0xE4D0000000000001), np.uint64(0x57A4000000000001)
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 19
 BITS_PER_ENTRY = 12
 PROBES = 6
 MAX_LEVEL = 24
