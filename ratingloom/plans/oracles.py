@@ -208,7 +208,7 @@ def oracle_sql() -> dict[str, str]:
     text_part = f"""SELECT "user", item, {_r('rating', 4)} AS rating FROM ({RATINGS_PART})"""
     item_best = (
         f"WITH cells AS ({RATINGS_BRAND}), {_cosine('cells', '\"user\"', 'item')}, {_UNRATED}, "
-        f"{_item_scores('cells', 'unrated')}, {_top(10)}"
+        f"{_item_scores('cells', 'unrated')}, {_top(100)}"
     )
     support = f"{_r('freq / n')}"
     related = f"""
@@ -302,7 +302,7 @@ LEFT JOIN cells c ON c."user" = u."user" AND c.item = i.item""",
         "svditem_rank1_predict": f"WITH RECURSIVE cells AS ({RATINGS_BRAND}), {_leading('cells')}, "
         f"""{_rank1_items('cells', 'cells')} SELECT "user", item, {_r('score')} AS score FROM scores""",
         "svditem_rank1_recommend": f"WITH RECURSIVE cells AS ({RATINGS_BRAND}), {_leading('cells')}, {_UNRATED}, "
-        f"{_rank1_items('cells', 'unrated')}, {_top(10)} SELECT * FROM best",
+        f"{_rank1_items('cells', 'unrated')}, {_top(100)} SELECT * FROM best",
         "svdplus_rank1_predict": f"WITH RECURSIVE cells AS ({RATINGS_BRAND}), {_normalised('cells')}, {_leading('filled')}, "
         f"""{_rank1_plus('cells', 'cells')} SELECT "user", item, {_r('score')} AS score FROM scores""",
         "svdplus_rank1_rmse": f"WITH RECURSIVE {_split(RATINGS_BRAND, 80)}, {_normalised('train')}, {_leading('filled')}, "
@@ -336,6 +336,13 @@ things AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS col FROM cells
 SELECT CAST(row AS BIGINT) AS row, CAST(col AS INT) AS col, rating AS value
 FROM cells JOIN people USING ("user") JOIN things USING (item) WHERE rating <> 0""",
     }
+    sql["itemcf_recommend_part"] = sql["itemcf_recommend"].replace(RATINGS_BRAND, RATINGS_PART)
+    sql["full_shape_rows_text"] = f"""
+WITH cells AS ({text_brand}),
+people AS (SELECT CAST(unnest(generate_series(0, max("user") + 2)) AS BIGINT) AS row FROM cells),
+things AS (SELECT CAST(unnest(generate_series(0, max(item) + 2)) AS INT) AS col FROM cells)
+SELECT row, col, coalesce(rating, 0.0::DOUBLE) AS value
+FROM people CROSS JOIN things LEFT JOIN cells ON "user" = row AND item = col"""
     for name in ("itemcf_recommend", "usercf_predict", "usercf_recommend"):
         sql[f"{name}_blocks"] = sql[name]
     return sql

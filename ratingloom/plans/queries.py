@@ -12,6 +12,7 @@ from ratingloom.functions.numeric import stable_round
 from ratingloom.operators import als, cells, gram, index, itemcf, itemsets, normalise, sampling, similarity, svd, svdcf, usercf
 from ratingloom.operators.fpgrowth import fp_itemsets
 from ratingloom.operators.grid import grid_pairs
+from ratingloom.plans import jobs
 from ratingloom.session import scratch_path, stage
 from ratingloom.sinks import text as out
 from ratingloom.sources import tables
@@ -321,14 +322,21 @@ def itemcf_predict(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def itemcf_recommend(spark: SparkSession, sf: str) -> DataFrame:
     rated = _brand(spark, sf)
-    return _scores(itemcf.recommend(rated, _item_model(rated), 10))
+    return _scores(itemcf.recommend(rated, _item_model(rated)))
+
+
+@query
+def itemcf_recommend_part(spark: SparkSession, sf: str) -> DataFrame:
+    """Lists of a hundred from a catalogue of all parts."""
+    rated = _part(spark, sf)
+    return _scores(itemcf.recommend(rated, _item_model(rated)))
 
 
 @query
 def itemcf_recommend_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """The same, computed in blocks however small the tables are."""
     rated = _brand(spark, sf)
-    return _scores(itemcf.recommend(rated, _item_model(rated), 10, join_limit=0))
+    return _scores(itemcf.recommend(rated, _item_model(rated), join_limit=0))
 
 
 @query
@@ -442,7 +450,7 @@ def svditem_predict(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def svditem_recommend(spark: SparkSession, sf: str) -> DataFrame:
     rated = _brand(spark, sf)
-    return _scores(svdcf.recommend_by_features(rated, svd.decompose(rated, RANK), 10))
+    return _scores(svdcf.recommend_by_features(rated, svd.decompose(rated, RANK)))
 
 
 @query
@@ -494,7 +502,7 @@ def svditem_rank1_predict(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def svditem_rank1_recommend(spark: SparkSession, sf: str) -> DataFrame:
     rated = _brand(spark, sf)
-    return _scores(svdcf.recommend_by_features(rated, svd.decompose(rated, 1), 10))
+    return _scores(svdcf.recommend_by_features(rated, svd.decompose(rated, 1)))
 
 
 @query
@@ -524,7 +532,7 @@ def als_predict(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def als_recommend(spark: SparkSession, sf: str) -> DataFrame:
     rated = _brand(spark, sf)
-    return _scores(als.recommend(als.train(rated), rated, 10))
+    return _scores(als.recommend(als.train(rated), rated))
 
 
 @query
@@ -638,7 +646,7 @@ def support_folders_text(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def recommendation_lines_text(spark: SparkSession, sf: str) -> DataFrame:
     rated = _brand(spark, sf)
-    ranked = _scores(itemcf.recommend(rated, _item_model(rated), 10))
+    ranked = _scores(itemcf.recommend(rated, _item_model(rated)))
     return src.read_lines(spark, _written(spark, out.recommendation_lines(ranked), "recommendations"))
 
 
@@ -662,3 +670,23 @@ def dense_matrix_text(spark: SparkSession, sf: str) -> DataFrame:
         F.concat_ws(",", F.transform("values", lambda x: x.cast("string"))).alias("value")
     )
     return src.dense_cells(src.read_dense_rows(spark, _written(spark, lines, "dense")))
+
+
+@query
+def full_shape_rows_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Dense row text with empty rows and columns, through the full-rank matrix and back: every cell is there."""
+    rated = stage(tables.ratings_brand(spark, sf).withColumn("rating", stable_round(F.col("rating"), 4)), "ratings_brand")
+    last = rated.agg(F.max("user").alias("user"), F.max("item").alias("item"), F.countDistinct("item").alias("n")).first()
+    users = spark.range((last["user"] or 0) + 3).withColumnRenamed("id", "user")
+    items = spark.range((last["item"] or 0) + 3).withColumnRenamed("id", "item")
+    filled = grid_pairs(users, items).join(rated, ["user", "item"], "left").select(
+        "user", "item", F.coalesce("rating", F.lit(0.0)).alias("score")
+    )
+    lines = out.dense_rows(filled).orderBy("row").select(
+        F.concat_ws(",", F.transform("values", lambda x: x.cast("string"))).alias("value")
+    )
+    source, result = scratch_path(spark, "full_shape"), scratch_path(spark, "full_shape_rows")
+    out.write_lines(lines, source)
+    jobs.reconstruct_dense_rows(spark, source, result, max(1, last["n"]))
+    cells = spark.read.parquet(result).select("row", F.posexplode("values").alias("col", "value"))
+    return cells.withColumn("value", stable_round(F.col("value"), 4) + F.lit(0.0))
