@@ -326,13 +326,25 @@ def _rank(label: str) -> int:
     return int(any(t.split("=")[0] in ("class", "id") and _MAIN_WORDS.fullmatch(t.partition("=")[2]) is not None for t in told))
 
 
+def _wraps_article(node: Node) -> bool:
+    """Whether a form is one that some servers put around the whole page."""
+    below = list(node.children) if node.label.split(" ")[0] == "form" else []
+    while below:
+        child = below.pop()
+        if not _avoided(child.label):
+            if _rank(child.label) >= 2:
+                return True
+            below.extend(child.children)
+    return False
+
+
 def content_nodes(template: Node, sums: dict[int, _Sums], pages: int) -> set[int]:
     """The identities of a template's nodes whose text is content."""
     own: list[tuple[Node, int]] = []  # nodes outside avoided places, with the best rank above or at them
     stack = [(template, 0)]
     while stack:
         node, rank = stack.pop()
-        if node is not template and _avoided(node.label):
+        if node is not template and _avoided(node.label) and not _wraps_article(node):
             continue
         tag = node.label.split(" ")[0]
         # A page's header is no content, an article's is.

@@ -136,6 +136,16 @@ def test_main_text_without_article_element(spark):
     assert all(found[k].endswith(f"Story {k} one. Two {k}") and "Home" not in found[k] for k in range(6))
 
 
+def test_form_around_the_page():
+    root, pieces = pages.parse("<form id=f><div class=nav>N</div><article><p>Text</p></article><form class=x>in</form></form>")
+    pages._number(root)
+    sums = {}
+    for node, _, text in pieces:
+        sums.setdefault(id(node), pages._Sums()).add(1, len(text), 0, 1, 1)
+    kept = pages.content_nodes(root, sums, 1)
+    assert [t.strip() for n, _, t in pieces if id(n) in kept] == ["Text"]
+
+
 def test_main_text_odd_pages(spark):
     rows = [
         (1, None, None, "x"), (2, "http://h/", "", "x"), (3, "http://h/", "plain words", "x"), (4, "http://h/1", "<article><p>cut of", "x"),
