@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratingloom.functions.basket import require_unique, unique_items
+from ratingloom.session import shuffle_partitions
 
 
 def fp_itemsets(
@@ -27,7 +28,7 @@ def fp_itemsets(
         # Half a basket below the count, so that the ceiling gives exactly it.
         min_support = max(0.0, (min_count - 0.5) / max(ready.count(), 1))
     miner = FPGrowth(itemsCol="items", minSupport=min(1.0, min_support))
-    miner.setNumPartitions(partitions or int(ready.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    miner.setNumPartitions(partitions or shuffle_partitions(ready.sparkSession))
     found = miner.fit(ready).freqItemsets
     return found.select(
         F.array_sort("items").alias("items"),

@@ -72,10 +72,10 @@ def frequent_levels(
     if max_size == 1:
         return
     level = stage(_pairs(kept, min_count, strict=False, **kernel), "level2")
-    found = kept.withColumn("items", F.array("item")).drop("item")
-    grown = level.select(
+    pairs = level.select(
         F.slice("items", 1, 1).alias("prefix"), F.element_at("items", 2).alias("item"), "items"
     )
+    found = None
     size = 2
     while not level.isEmpty():
         yield level
@@ -85,10 +85,17 @@ def frequent_levels(
         candidates = stage(_candidates(level, size), f"candidates{size}")
         if candidates.isEmpty():
             return
-        found = stage(_occurrences(found, grown, kept), f"found{size - 1}")
-        grown = candidates
-        level = stage(_counted(_occurrences(found, grown, kept), size, min_count), f"level{size}")
-        grown = grown.join(level.select("items"), "items", "left_semi")
+        # Only sets that some candidate extends have to be known where they occur.
+        extended = candidates.select(F.col("prefix").alias("items")).distinct()
+        if found is None:
+            singly = kept.withColumn("items", F.array("item")).drop("item")
+            found = _occurrences(singly, pairs.join(extended, "items", "left_semi"), kept)
+        else:
+            found = found.join(extended, "items", "left_semi")
+        found = _occurrences(found, candidates, kept)
+        if size != max_size:
+            found = stage(found, f"found{size}")
+        level = stage(_counted(found, size, min_count), f"level{size}")
 
 
 def frequent_itemsets(cells: DataFrame, min_count: int, max_size: int | None = None, **kernel) -> DataFrame:

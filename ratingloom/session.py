@@ -30,6 +30,9 @@ def session(app_name: str = "ratingloom", **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # Split a hot join key even where that costs one more shuffle.
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        # Adaptive execution merges small partitions but does not split grouped ones,
+        # so the shuffle starts with many.
+        .config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "8192")
         # Both are decided on sizes measured at run time; beyond them the join is
         # a sort-merge join.
         .config("spark.sql.autoBroadcastJoinThreshold", "64m")
@@ -55,6 +58,12 @@ def _shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """How many partitions a shuffle starts with."""
+    first = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return int(first or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path for ``label`` under this application's scratch folder."""
     app = spark.sparkContext.applicationId
@@ -120,6 +129,7 @@ def local_conf(cores: int | str, driver_memory: str = "20g") -> dict[str, str]:
         "spark.master": f"local[{cores}]",
         "spark.driver.memory": driver_memory,
         "spark.sql.shuffle.partitions": parts,
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": parts,
         "spark.ui.enabled": "false",
         # Small tables still spread over all cores.
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
