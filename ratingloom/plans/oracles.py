@@ -337,6 +337,12 @@ SELECT CAST(row AS BIGINT) AS row, CAST(col AS INT) AS col, rating AS value
 FROM cells JOIN people USING ("user") JOIN things USING (item) WHERE rating <> 0""",
     }
     sql["itemcf_recommend_part"] = sql["itemcf_recommend"].replace(RATINGS_BRAND, RATINGS_PART)
+    sql["map_ids_text"] = f"""
+WITH ids AS ({sql["raw_ratings_text"]})
+SELECT raw, idx, n FROM ids JOIN (SELECT raw_item AS raw, count(*) AS n FROM ({RAW}) GROUP BY 1) USING (raw)"""
+    sql["string_baskets_text"] = f"""
+WITH cells AS ({BASKETS}), total AS (SELECT count(DISTINCT basket) AS n FROM cells)
+SELECT 'B' || item AS items, count(*) AS freq FROM cells, total GROUP BY item, n HAVING count(*) >= ceil(n * 0.1)"""
     sql["full_shape_rows_text"] = f"""
 WITH cells AS ({text_brand}),
 people AS (SELECT CAST(unnest(generate_series(0, max("user") + 2)) AS BIGINT) AS row FROM cells),

@@ -575,6 +575,18 @@ def raw_ratings_text(spark: SparkSession, sf: str) -> DataFrame:
     return index.ids_by_first_seen(read, "raw_item", src.RAW_POSITION)
 
 
+@query
+def map_ids_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The job from raw lines to mapped lines: its item map, with the ratings of each item in both parts."""
+    rows = tables.raw_ratings(spark, sf).orderBy("l_orderkey", "l_linenumber", "l_partkey")
+    lines = rows.select(F.concat_ws(",", "raw_user", "raw_item", F.col("rating").cast("string")).alias("value"))
+    folder = scratch_path(spark, "mapped")
+    jobs.map_ids(spark, _written(spark, lines, "raw"), folder, 80)
+    parts = src.read_ratings(spark, f"{folder}/training").union(src.read_ratings(spark, f"{folder}/testing"))
+    counts = parts.groupBy(F.col("item").alias("idx")).agg(F.count(F.lit(1)).alias("n"))
+    return src.read_id_map(spark, f"{folder}/items").join(counts, "idx").select("raw", "idx", "n")
+
+
 @query
 def numbered_lines_text(spark: SparkSession, sf: str) -> DataFrame:
     rows = tables.table(spark, sf, "lineitem").orderBy("l_orderkey", "l_linenumber", "l_partkey")
@@ -608,6 +620,16 @@ def tid_baskets_text(spark: SparkSession, sf: str) -> DataFrame:
     return itemsets.collapse_baskets(read).select(joined(F.col("items")).alias("items"), "weight")
 
 
+@query
+def string_baskets_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Baskets of brand names without an id; a repeated name would fail the query."""
+    names = F.transform("items", lambda x: F.concat(F.lit("B"), x.cast("string")))
+    lines = tables.baskets_brand(spark, sf).select(F.concat_ws(",", names).alias("value"))
+    read = src.read_baskets(spark, _written(spark, lines, "string_baskets"), "string")
+    found = fp_itemsets(read, 0.1, duplicates="error").filter("size = 1")
+    return found.select(joined(F.col("items")).alias("items"), "freq")
+
+
 @query
 def itemset_lines_text(spark: SparkSession, sf: str) -> DataFrame:
     found = fp_itemsets(tables.baskets_brand(spark, sf), PAIR_SUPPORT)
