@@ -24,8 +24,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from ratingloom.llm.tokens import encoder
-from ratingloom.session import scratch_path
+from ratingloom.session import scratch_path, shuffle_partitions
 
+#: Documents of one file, about, where the tables are large.
+FILE_DOCUMENTS = 20_000
 BLOCK_SCHEMA = (
     "file int, block long, first long, n_ids int, width int, kind string, planes array<int>, payload binary, "
     "documents array<struct<ordinal:long,doc_id:long,offset:int,length:int,last:boolean>>"
@@ -142,7 +144,7 @@ def write_ids(
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    count = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = files or max(shuffle_partitions(spark), -(-documents.count() // FILE_DOCUMENTS))
     # A hash stands for the text among rows with one id, so that no text is sampled for the ranges.
     keyed = chosen.withColumn("text_hash", F.xxhash64("text"))
     ordered = keyed.repartitionByRange(count, "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "text")
