@@ -266,8 +266,8 @@ def score(
     """
     spark = documents.sparkSession
     blocks = stage(word_blocks(documents, modulus, remainder), "lm-blocks")
-    # As the corpus grows so does the number of buckets: one holds about eight blocks' worth of numbers.
-    parts = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), blocks.count() // 8)
+    # As the corpus grows so does the number of buckets: one holds about two blocks' worth of numbers.
+    parts = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), blocks.count() // 2)
     replies = stage(_replied(_sent(blocks, parts, "word", True), "count"), "lm-words")
     totals = replies.filter("block is null").agg(
         F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")
