@@ -9,8 +9,9 @@ every tree, by the exact cosine.
 Nothing is kept per pair: a leaf returns how many links each vector has and, for
 its connected groups, a link from every vector to the group's smallest.  A pair
 that meets in several leaves is counted in the first of them only.  Equal vectors
-are one node with a weight.  A leaf of vectors that are nearly all alike is not split,
-as that would lose links, but compared in tiles.
+are one node with a weight.  A node, on any level, of whose pairs more than a quarter
+link is not split, as that would lose links, but compared in tiles: a median always
+cuts a group that is more than half of its node.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ FIT_VECTORS = 1 << 14
 LEAF, LEAF_MOST = 128, 4096
 #: Levels of one fit.
 LEVELS = 9
+#: Share of linking pairs beyond which a node is not split, judged on so many vectors at least and at most.
+TIGHT, TIGHT_LEAST, TIGHT_MOST = 0.25, 16, 512
 #: Rows of a tile.
 TILE = 2048
 
@@ -44,29 +47,48 @@ def _directions(seed: int, levels: int, width: int) -> np.ndarray:
     return rng.standard_normal((levels, width))
 
 
-def fit_tree(vectors: np.ndarray, seed: int, levels: int, spill: float) -> np.ndarray:
-    """Lower and upper bound of the spill zone of every inner node, level by level."""
+def _is_tight(unit: np.ndarray, bound: float) -> bool:
+    """Whether more than :data:`TIGHT` of the pairs of a sample link."""
+    n = len(unit)
+    if n < TIGHT_LEAST:
+        return False
+    some = unit[np.linspace(0, n - 1, TIGHT_MOST).astype(int)] if n > TIGHT_MOST else unit
+    linked = int((some @ some.T >= bound).sum()) - len(some)
+    return linked > TIGHT * len(some) * (len(some) - 1)
+
+
+def fit_tree(vectors: np.ndarray, seed: int, levels: int, spill: float, bound: float) -> np.ndarray:
+    """Lower and upper bound of the spill zone of every inner node, level by level; NaN where a tight node stays whole."""
     bounds = np.zeros((2**levels - 1, 2))
     members = {0: np.arange(len(vectors))}
     for level, direction in enumerate(_directions(seed, levels, vectors.shape[1])):
         shade = vectors @ direction
         for node in range(2**level - 1, 2 ** (level + 1) - 1):
             own = members.pop(node, np.zeros(0, int))
+            if _is_tight(vectors[own], bound):
+                bounds[node] = np.nan
+                continue
             if len(own):
                 bounds[node] = np.quantile(shade[own], [0.5 - spill / 2, 0.5 + spill / 2])
             members[2 * node + 1], members[2 * node + 2] = own[shade[own] <= bounds[node, 1]], own[shade[own] >= bounds[node, 0]]
     return bounds
 
 
-def route(vectors: np.ndarray, bounds: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and the leaves they fall in; a row in the spill zone has several."""
+def route(vectors: np.ndarray, bounds: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, the nodes they end in, and whether those are tight; a row in the spill zone has several."""
     levels = (len(bounds) + 1).bit_length() - 1
     rows, nodes = np.arange(len(vectors)), np.zeros(len(vectors), np.int64)
+    ended = []
     for direction in _directions(seed, levels, vectors.shape[1]):
+        stays = np.isnan(bounds[nodes, 0])
+        ended.append((rows[stays], nodes[stays]))
+        rows, nodes = rows[~stays], nodes[~stays]
         shade = (vectors @ direction)[rows]
         left, right = shade <= bounds[nodes, 1], shade >= bounds[nodes, 0]
         rows, nodes = np.concatenate((rows[left], rows[right])), np.concatenate((2 * nodes[left] + 1, 2 * nodes[right] + 2))
-    return rows, nodes - (2**levels - 1)
+    tight = sum(len(r) for r, _ in ended)
+    every, at = (np.concatenate(a) for a in zip(*ended, (rows, nodes)))
+    return every, at, np.arange(len(every)) < tight
 
 
 def _unit(blobs: pd.Series) -> np.ndarray:
@@ -74,12 +96,6 @@ def _unit(blobs: pd.Series) -> np.ndarray:
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-def _is_tight(unit: np.ndarray, bound: float) -> bool:
-    """Whether most pairs of a sample link."""
-    some = unit[:512]
-    return bool((some @ some.T >= bound).mean() > 0.5)
-
-
 def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``vec_id, shape`` of the usable rows, and ``node, weight, shape, vector`` per distinct vector."""
     x = F.col("embedding")
@@ -109,19 +125,21 @@ def _memberships(nodes: DataFrame, bound: float, trees: int, spill: float, leaf:
     fitted = {}
     for shape in {r["shape"] for r in sample}:
         unit = _unit(pd.Series([r["vector"] for r in sample if r["shape"] == shape]))
-        fitted[shape] = [fit_tree(unit, seed + t, levels, spill) for t in range(trees)]
+        fitted[shape] = [fit_tree(unit, seed + t, levels, spill, bound) for t in range(trees)]
 
     def top(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for shape, part in frame.groupby("shape"):
                 unit, own = _unit(part["vector"]), part["node"].to_numpy()
                 for t, bounds in enumerate(fitted.get(shape, [np.zeros((0, 2))] * trees)):
-                    rows, leaves = route(unit, bounds, seed + t)
+                    rows, leaves, tight = route(unit, bounds, seed + t)
                     names = (np.int64(shape) << 40) + (t << 20) + leaves
-                    yield pd.DataFrame({"leaf": names, "node": own[rows]})
+                    yield pd.DataFrame({"leaf": names, "node": own[rows], "tight": tight})
 
-    found = stage(nodes.select("node", "shape", "vector").mapInPandas(top, "leaf long, node long"), "forest-leaves")
-    done = []
+    parts = nodes.select("node", "shape", "vector").mapInPandas(top, "leaf long, node long, tight boolean")
+    parts = stage(parts, "forest-leaves")
+    done = [parts.filter("tight").drop("tight")]
+    found = parts.filter("not tight").drop("tight")
     while True:
         sizes = found.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > most)
         sizes = stage(sizes, "forest-large")
@@ -133,19 +151,20 @@ def _memberships(nodes: DataFrame, bound: float, trees: int, spill: float, leaf:
         drawn = large.filter(F.abs(F.xxhash64("node", "leaf") % 1_000_000) < F.lit(1_000_000.0 * FIT_VECTORS / 2) / F.col("size"))
 
         def fit(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("node")
             unit, name, size = _unit(group["vector"]), int(group["leaf"].iloc[0]), int(group["size"].iloc[0])
-            deep = 0 if _is_tight(unit, bound) else min(6, int(np.ceil(np.log2(size / leaf))))
-            return pd.DataFrame({"leaf": [name], "bounds": [fit_tree(unit, name, deep, spill).tobytes()]})
+            deep = max(1, min(6, int(np.ceil(np.log2(size / leaf)))))
+            return pd.DataFrame({"leaf": [name], "bounds": [fit_tree(unit, name, deep, spill, bound).tobytes()]})
 
         def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 for name, part in frame.groupby("leaf"):
                     bounds = as_array(part["bounds"].iloc[0], "<f8").reshape(-1, 2)
-                    rows, leaves = route(_unit(part["vector"]), bounds, int(name))
+                    rows, leaves, tight = route(_unit(part["vector"]), bounds, int(name))
                     # A name of its own for every part; the shift keeps it apart from upper leaves.
                     with np.errstate(over="ignore"):
                         names = np.int64(name) * np.int64(1_000_003) + leaves + 1
-                    yield pd.DataFrame({"leaf": names, "node": part["node"].to_numpy()[rows], "tight": len(bounds) == 0})
+                    yield pd.DataFrame({"leaf": names, "node": part["node"].to_numpy()[rows], "tight": tight})
 
         models = stage(drawn.groupBy("leaf").applyInPandas(fit, "leaf long, bounds binary"), "forest-fits")
         parts = large.join(models, "leaf").mapInPandas(split, "leaf long, node long, tight boolean")

@@ -100,6 +100,19 @@ def test_forest_splits_large_leaves_and_tiles_tight_ones(spark):
     assert sum(f[1] for f in found) >= 0.95 * sum(w[1] for w in want)
 
 
+def test_forest_keeps_a_large_group_of_differing_copies_whole(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=64)
+    group = centre / np.linalg.norm(centre) + rng.normal(0, 0.03, (2000, 64))
+    matrix = np.concatenate((group, rng.normal(size=(4000, 64)))).astype(np.float32).astype(float)
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    found = dict(forest.near_vectors(vectors(spark, list(enumerate(matrix.tolist())))).select("vec_id", "n_links").collect())
+    found = np.array([found[i] for i in range(len(want))])
+    assert want[:2000].mean() > 1500 and (found <= want).all()
+    assert found.sum() >= 0.99 * want.sum()
+
+
 def test_forest_odd_rows(spark):
     df = vectors(spark, ODD)
     assert sorted(map(tuple, forest.near_vectors(df).collect()), key=str) == brute_links(ODD)
