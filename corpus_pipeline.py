@@ -46,26 +46,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing to target weights: a text gets as many words as the mix takes of it; with none it goes.
-
-    Fewer words than it has are its first ones; more are the text followed by its
-    first words again.
-    """
-    taken = mixing.mix(docs).filter("taken > 0").groupBy("doc_id").agg(F.max("taken").alias("_taken"))
-    joined = docs.join(taken.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")))
-    words = F.regexp_extract_all("text", F.lit(mixing.WORD_PATTERN), F.lit(0))
-    joined = joined.withColumn("_size", mixing.count_words(F.col("text")))
-
-    def first(count: F.Column) -> F.Column:
-        return F.array_join(F.slice(words, F.lit(1), count.cast("int")), " ")
-
-    more = F.col("_taken") - F.col("_size")
-    text = (
-        F.when(more == 0, F.col("text"))
-        .when(more < 0, first(F.col("_taken")))
-        .otherwise(F.concat_ws(" ", F.col("text"), first(more)))
-    )
-    mixed = joined.withColumn("text", text)
+    """Mixing to target weights: a text becomes the blocks that the mix draws of its row; with none it goes."""
+    mixed = mixing.mixed_texts(docs)
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return mixed.select(docs.columns)

@@ -81,27 +81,20 @@ def sainte_lague(parts: DataFrame, group: list[str], key: list[str], vote: str,
     )
 
 
-def mix(
-    documents: DataFrame,
-    weights: tuple[int, ...] = WEIGHTS,
-    share: float = 1.5,
-    most_repeats: int = 2,
-    block_words: int = 32,
-    shard_words: int = 1 << 16,
-    group_shards: int = 1 << 12,
-    seed: int = 7,
-) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken, block_quota`` for every row.
-
-    ``taken`` counts words, repeats included, at most ``most_repeats`` times ``size``.
-    Nulls: a null text has size 0, a null source is a source of its own, a null
-    ``doc_id`` is an id like any other.  Rows repeated in full are rows of their
-    own.  A document without words takes none; an empty table gives no rows.
-    Other columns are ignored.
+def _drawn(
+    sized: DataFrame,
+    weights: tuple[int, ...],
+    share: float,
+    most_repeats: int,
+    block_words: int,
+    shard_words: int,
+    group_shards: int,
+    seed: int,
+) -> tuple[DataFrame, DataFrame]:
+    """The sources with their targets, and ``row, start, block, inside, times`` of every block's part of a row.
+
+    ``sized``, a written table, has ``row, doc_id, source, size``; ``start`` is the row's first word in its shard.
     """
-    sized = documents.select("doc_id", "source", count_words(F.col("text")).alias("size"))
-    # The row number only names a row of this written table; results do not depend on it.
-    sized = stage(sized.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sources, weights, share, most_repeats)
     blocks = F.floor(F.sum("target").over(Window.partitionBy()) / block_words + 0.5)
@@ -113,7 +106,7 @@ def mix(
     placed = sized.join(apportioned, sized["source"].eqNullSafe(apportioned["source"])).select(
         "row", "doc_id", "size", "place", (digest_number(seed, F.col("doc_id")) % F.col("shards")).alias("shard")
     )
-    order = Window.partitionBy("place", "shard").orderBy(digest(seed, F.col("doc_id")), "doc_id", "size")
+    order = Window.partitionBy("place", "shard").orderBy(digest(seed, F.col("doc_id")), "doc_id", "size", "row")
     start = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     placed = placed.withColumn("start", start)
 
@@ -138,13 +131,37 @@ def mix(
     drawn = Window.partitionBy("place", "shard").orderBy(digest(seed, F.col("place"), F.col("shard"), F.col("block")), "block")
     first = F.greatest(F.col("start"), F.col("block") * block_words)
     last = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
-    spans = spans.select("row", "place", "shard", (last - first).alias("inside"), F.dense_rank().over(drawn).alias("turn"))
-    times = F.col("every") + F.when(F.col("turn") <= F.col("extra"), 1).otherwise(0)
-    taken = (
-        spans.join(shards, ["place", "shard"])
-        .groupBy("row")
-        .agg(F.sum(F.col("inside") * times).cast("long").alias("taken"))
+    spans = spans.select(
+        "row", "place", "shard", "start", "block", (last - first).alias("inside"), F.dense_rank().over(drawn).alias("turn")
     )
+    times = F.col("every") + F.when(F.col("turn") <= F.col("extra"), 1).otherwise(0)
+    spans = spans.join(shards, ["place", "shard"])
+    return apportioned, spans.select("row", "start", "block", "inside", times.alias("times"))
+
+
+def mix(
+    documents: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    share: float = 1.5,
+    most_repeats: int = 2,
+    block_words: int = 32,
+    shard_words: int = 1 << 16,
+    group_shards: int = 1 << 12,
+    seed: int = 7,
+) -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken, block_quota`` for every row.
+
+    ``taken`` counts words, repeats included, at most ``most_repeats`` times ``size``.
+    Nulls: a null text has size 0, a null source is a source of its own, a null
+    ``doc_id`` is an id like any other.  Rows repeated in full are rows of their
+    own.  A document without words takes none; an empty table gives no rows.
+    Other columns are ignored.
+    """
+    sized = documents.select("doc_id", "source", count_words(F.col("text")).alias("size"))
+    # The row number only names a row of this written table; results do not depend on it.
+    sized = stage(sized.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
+    apportioned, spans = _drawn(sized, weights, share, most_repeats, block_words, shard_words, group_shards, seed)
+    taken = spans.groupBy("row").agg(F.sum(F.col("inside") * F.col("times")).cast("long").alias("taken"))
     named = sized.join(
         apportioned.select(F.col("source").alias("_source"), "source_size", "target", "blocks"),
         F.col("source").eqNullSafe(F.col("_source")),
@@ -153,3 +170,41 @@ def mix(
         "doc_id", "source", "size", "source_size", "target",
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("blocks").alias("block_quota"),
     )
+
+
+def mixed_texts(
+    documents: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    share: float = 1.5,
+    most_repeats: int = 2,
+    block_words: int = 32,
+    shard_words: int = 1 << 16,
+    group_shards: int = 1 << 12,
+    seed: int = 7,
+) -> DataFrame:
+    """``documents`` with each ``text`` made of exactly the blocks that :func:`mix` draws of its row.
+
+    The drawn blocks follow in their order, with the white space behind their words;
+    those drawn again follow once more, after a space.  A text that is drawn whole is
+    left as it is.  Rows of which nothing is drawn go.  Nulls and repeated rows are
+    taken as in :func:`mix`, row by row.
+    """
+    # The row number only names a row of this written table.
+    rows = stage(documents.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    sized = stage(rows.select(F.col("_row").alias("row"), "doc_id", "source", count_words(F.col("text")).alias("size")), "mix-sizes")
+    _, spans = _drawn(sized, weights, share, most_repeats, block_words, shard_words, group_shards, seed)
+    drawn = spans.groupBy(F.col("row").alias("_row")).agg(
+        (F.first("start") % block_words).alias("_ahead"), F.max("times").alias("_most"), F.min("times").alias("_least"),
+        F.sort_array(F.collect_list(F.struct("block", "times"))).alias("_blocks"),
+    )
+    joined = rows.join(drawn.filter("_most > 0"), "_row")
+    words = F.regexp_extract_all("text", F.lit(WORD_PATTERN + r"[\x20\x09-\x0D]*"), F.lit(0))
+
+    def taken(turn: Column) -> Column:
+        def is_drawn(_: Column, at: Column) -> Column:
+            return F.get("_blocks", F.floor((F.col("_ahead") + at) / block_words).cast("int"))["times"] >= turn
+
+        return F.when(turn <= F.col("_least"), F.col("text")).otherwise(F.array_join(F.filter(words, is_drawn), ""))
+
+    turns = F.transform(F.sequence(F.lit(1).cast("long"), F.col("_most").cast("long")), taken)
+    return joined.withColumn("text", F.array_join(turns, " ")).select(documents.columns)

@@ -30,6 +30,30 @@ def test_stages_take_effect(spark):
     assert {r.doc_id for r in pieces.collect()} == set(words)
 
 
+def test_mixed_texts_are_the_drawn_blocks(spark):
+    def text(name, size):
+        return "".join(f"{name}w{i}" + ("\n" if i % 7 == 0 else " ") for i in range(size))
+
+    sizes = {"a": (20000, 40, 9000), "b": (4000, 1000, 900), "c": (9000, 1000, 2500)}
+    rows = [(k or None, text(f"{s}{k}", n), "en", s, n) for s, each in sizes.items() for k, n in enumerate(each)]
+    rows += [(None, text("x", 700), "en", "c", 1)]
+    docs = stage(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "test")
+    mixed = {r.text.split("w")[0]: r.text for r in corpus_pipeline.mix_sources(spark, docs, "").collect()}
+    whole = {r[1].split("w")[0]: r[1].split() for r in rows}
+    wanted = sorted((len(whole[n]), len(t.split())) for n, t in mixed.items())
+    assert wanted == sorted((r["size"], r.taken) for r in mixing.mix(docs).filter("taken > 0").collect())
+    tails = 0
+    for name, found in mixed.items():
+        at = [int(w.partition("w")[2]) for w in found.split()]
+        assert all(w.startswith(name + "w") for w in found.split())
+        again = next((i for i in range(1, len(at)) if at[i] <= at[i - 1]), len(at))
+        assert all(a < b for part in (at[:again], at[again:]) for a, b in zip(part, part[1:]))
+        assert set(at[again:]) <= set(at[:again])
+        tails += again < len(whole[name]) and max(at) >= again
+        assert ("\n" in found) == any(i % 7 == 0 for i in at)
+    assert tails >= 3
+
+
 def test_odd_rows(spark, odd_documents, no_documents):
     folder = "/root/testdata/sf0.001"
     for docs in (odd_documents, no_documents):
