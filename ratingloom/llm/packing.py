@@ -1,7 +1,10 @@
 """Packing documents into fixed windows, lexical neighbours together.
 
-Documents are dealt to shards of bounded size.  Each shard is a BM25 inverted index
-over token ids.  A seed document opens a window; the shard's unused documents
+Document frequencies and the mean length are counted over the whole corpus.  Documents
+are then ordered by their heaviest BM25 terms, among terms that are frequent enough to
+be shared, and the order is cut into shards of bounded size: documents with the
+same heavy terms meet, and a group that overfills a shard is parted by its next terms.
+Each shard is a BM25 inverted index over token ids with the corpus' statistics.  A seed document opens a window; the shard's unused documents
 with the best BM25 scores for the seed's terms follow until the window is full.  The
 document that does not fit is cut, and its rest opens the next window, as its
 seed.  What is left at a shard's end is cut into windows of power-of-two lengths,
@@ -13,23 +16,54 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from ratingloom.llm.tokens import encoder
+from ratingloom.operators.index import dense_index
+from ratingloom.session import stage
 
+#: Terms of a document that say where it is dealt.
+HEAVY_TERMS = 6
+_TOKENS = "row long, doc_id long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long"
 
 
+@dataclass
+class Corpus:
+    """Number of documents, their mean length, and the documents that hold each term id."""
+
+    documents: int
+    mean: float
+    held: np.ndarray
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        held = self.held[terms]
+        return np.log1p((self.documents - held + 0.5) / (held + 0.5))
+
+
+def heavy_terms(ids: np.ndarray, corpus: Corpus, least: int, k1: float = 1.2, b: float = 0.75) -> list[int]:
+    """A document's terms of most BM25 weight, heaviest first, of those in at least ``least`` documents."""
+    terms, counts = np.unique(ids, return_counts=True)
+    shared = corpus.held[terms] >= least
+    terms, counts = terms[shared], counts[shared]
+    norm = k1 * (1 - b + b * len(ids) / max(corpus.mean, 1))
+    weight = corpus.idf(terms) * counts * (k1 + 1) / (counts + norm)
+    return terms[np.argsort(-weight, kind="stable")[:HEAVY_TERMS]].tolist()
+
+
 class Index:
-    """BM25 over a shard's documents, each an array of token ids."""
+    """BM25 over a shard's documents, each an array of token ids; without ``corpus`` the shard is the corpus."""
 
-    def __init__(self, documents: list[np.ndarray], k1: float = 1.2, b: float = 0.75) -> None:
+    def __init__(self, documents: list[np.ndarray], k1: float = 1.2, b: float = 0.75, corpus: Corpus | None = None) -> None:
         n = len(documents)
         lengths = np.array([len(d) for d in documents], float)
         owners = np.repeat(np.arange(n), lengths.astype(int))
@@ -39,8 +73,9 @@ class Index:
         self._owner = pairs % max(n, 1)
         self._from = np.searchsorted(pairs // max(n, 1), np.arange(len(self._terms) + 1))
         held = np.diff(self._from)
-        idf = np.log1p((n - held + 0.5) / (held + 0.5))
-        norm = k1 * (1 - b + b * lengths / max(lengths.mean(), 1)) if n else lengths
+        idf = corpus.idf(self._terms) if corpus else np.log1p((n - held + 0.5) / (held + 0.5))
+        mean = corpus.mean if corpus else lengths.mean() if n else 0
+        norm = k1 * (1 - b + b * lengths / max(mean, 1))
         self._weight = np.repeat(idf, held) * counts * (k1 + 1) / (counts + norm[self._owner])
         order = np.argsort(self._owner, kind="stable")
         self._term_of = np.repeat(np.arange(len(self._terms)), held)[order]
@@ -56,9 +91,9 @@ class Index:
         return np.bincount(self._owner[at], self._weight[at], self._n)
 
 
-def fill(documents: list[np.ndarray], window: int) -> Iterator[tuple[int, int, int, int, int]]:
+def fill(documents: list[np.ndarray], window: int, corpus: Corpus | None = None) -> Iterator[tuple[int, int, int, int, int]]:
     """``document, start, length, sequence, offset`` of every piece of one shard."""
-    index = Index(documents)
+    index = Index(documents, corpus=corpus)
     unused = np.ones(len(documents), bool)
     queue: list[tuple[int, int]] = []  # the rest of a cut document
     pieces: list[tuple[int, int, int]] = []
@@ -114,6 +149,74 @@ def fill(documents: list[np.ndarray], window: int) -> Iterator[tuple[int, int, i
                 at, sequence = 0, sequence + 1
 
 
+def _tokens(documents: DataFrame, end_id: int, vocabulary: str | None) -> DataFrame:
+    """``row, doc_id, ids`` of every document, its ids compressed."""
+    chosen = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kinds = to_arrow_schema(_parse_datatype_string(_TOKENS))
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, squeeze = encoder(vocabulary), zstandard.ZstdCompressor(level=1)
+        end = np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            ids = [squeeze.compress(coder.encode(t.as_py()) + end) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], schema=kinds)
+
+    return chosen.mapInArrow(encoded, _TOKENS)
+
+
+def _unpacked(blobs: pa.Array) -> Iterator[np.ndarray]:
+    loose = zstandard.ZstdDecompressor()
+    return (np.frombuffer(loose.decompress(b.as_py()), "<u4") for b in blobs)
+
+
+def count_terms(tokens: DataFrame) -> Corpus:
+    """The corpus' statistics; what reaches the driver is bounded by the vocabulary."""
+    columns = "term long, held long, total long"
+    kinds = to_arrow_schema(_parse_datatype_string(columns))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, total = np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            for ids in _unpacked(batch.column("ids")):
+                terms = np.unique(ids)
+                if terms[-1] >= len(held):
+                    held = np.concatenate((held, np.zeros(int(terms[-1]) + 1 - len(held), np.int64)))
+                held[terms] += 1
+                rows, total = rows + 1, total + len(ids)
+        terms = np.flatnonzero(held)
+        # The row of term -1 counts documents and their lengths.
+        found = [np.append(terms, -1), np.append(held[terms], rows), np.append(np.zeros_like(terms), total)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], schema=kinds)
+
+    found = tokens.select("ids").mapInArrow(counted, columns).groupBy("term").agg(F.sum("held").alias("held"), F.sum("total").alias("total"))
+    found = {r["term"]: r for r in found.toLocalIterator()}
+    whole = found.pop(-1, {"held": 0, "total": 0})
+    held = np.zeros(max(found, default=-1) + 1, np.int64)
+    for term, r in found.items():
+        held[term] = r["held"]
+    return Corpus(whole["held"], whole["total"] / max(1, whole["held"]), held)
+
+
+def _dealt(tokens: DataFrame, corpus: Corpus, shards: int, shard_documents: int) -> DataFrame:
+    """``row, shard``: consecutive documents in the order of their heavy terms share a shard."""
+    # Rarer terms bring together too few to fill a shard; they still count in the scores.
+    least = max(2, shard_documents // 8)
+    columns = "row long, doc_id long, heavy array<int>, same long"
+    kinds = to_arrow_schema(_parse_datatype_string(columns))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = list(_unpacked(batch.column("ids")))
+            heavy = pa.array([heavy_terms(ids, corpus, least) for ids in every], kinds.field("heavy").type)
+            same = pa.array([xxhash.xxh64_intdigest(ids.tobytes()) - 2**63 for ids in every], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), heavy, same], schema=kinds)
+
+    keys = tokens.select("row", "doc_id", "ids").mapInArrow(keyed, columns)
+    # Equal rows may stand in any order.
+    ranked = dense_index(keys, ["heavy", "doc_id", "same", "row"], "rank")
+    return ranked.select("row", F.floor(F.col("rank") * shards / corpus.documents).cast("long").alias("shard"))
+
+
 def pack(
     documents: DataFrame,
     window: int = 4096,
@@ -126,24 +229,25 @@ def pack(
     ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded``;
     ``padded`` is the window's length with padding.  A null or empty text is the
     end id alone; rows with one ``doc_id`` are packed one by one; a null id stays
-    null; an empty table gives no rows.  Other columns are ignored.
+    null; an empty table gives no rows.  Other columns are ignored.  Neighbours are
+    looked for in a seed's own shard.
     """
-    rows = documents.count()
-    shards = max(1, -(-rows // shard_documents))
-    chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # The row's place takes part in the key, as equal rows must not fill one shard.
-    dealt = chosen.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards)))
+    tokens = stage(_tokens(documents, end_id, vocabulary), "pack-tokens")
+    corpus = count_terms(tokens)
+    shards = max(1, -(-corpus.documents // shard_documents))
+    if shards == 1:
+        dealt = tokens.withColumn("shard", F.lit(0).cast("long"))
+    else:
+        dealt = tokens.join(_dealt(tokens, corpus, shards, shard_documents), "row")
     kinds = to_arrow_schema(_parse_datatype_string(PIECES))
 
     def packed(group: pa.Table) -> pa.Table:
-        coder = encoder(vocabulary)
-        end = np.array([end_id], "<u4").tobytes()
         shard = group.column("shard")[0].as_py()
-        rows = zip(group.column("doc_id").to_pylist(), group.column("text").to_pylist())
-        rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+        rows = zip(group.column("doc_id").to_pylist(), _unpacked(group.column("ids")))
+        rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].tobytes()))
         names = [name for name, _ in rows]
-        ids = [np.frombuffer(coder.encode(text) + end, "<u4") for _, text in rows]
-        found = list(fill(ids, window))
+        ids = [i for _, i in rows]
+        found = list(fill(ids, window, corpus))
         lengths = Counter()
         for _, _, n, sequence, _ in found:
             lengths[sequence] += n
@@ -154,4 +258,4 @@ def pack(
         ])
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=kinds)
 
-    return dealt.groupBy("shard").applyInArrow(packed, PIECES)
+    return dealt.select("shard", "doc_id", "ids").groupBy("shard").applyInArrow(packed, PIECES)

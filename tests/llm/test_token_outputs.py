@@ -77,6 +77,32 @@ def test_packing_prefers_neighbours():
     assert mixed <= 3
 
 
+def test_packing_brings_neighbours_of_all_shards_together(spark):
+    names = ["garden", "engine", "river", "piano", "market", "winter", "doctor", "planet"]
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(320):
+        words = [f"{names[k % 8]} {w}" for w in rng.choice(["old", "new", "near", "under", "about", "every", "small", "big"], 15)]
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    windows = {}
+    for r in packing.pack(df, window=256, shard_documents=40).collect():
+        windows.setdefault(r.sequence_id, set()).add(r.doc_id % 8)
+    assert len({s >> 32 for s in windows}) == 8
+    assert np.mean([len(w) == 1 for w in windows.values()]) >= 0.9
+
+
+def test_shards_score_with_the_statistics_of_the_corpus(spark, documents):
+    tokens = packing._tokens(documents, 2, None).cache()
+    corpus = packing.count_terms(tokens)
+    ids = [i for _, i in expected(documents, 2)]
+    assert corpus.documents == len(ids) and abs(corpus.mean - np.mean([len(i) for i in ids])) < 1e-9
+    held = np.bincount(np.concatenate([np.unique(i) for i in ids]))
+    assert (corpus.held == held).all()
+    whole, part = packing.Index(ids), packing.Index(ids[:20], corpus=corpus)
+    assert np.allclose(whole.scores(3)[:20], part.scores(3))
+
+
 def test_bm25_agrees_with_the_formula():
     rng = np.random.default_rng(2)
     docs = [rng.integers(0, 30, n) for n in (5, 9, 1, 14)]
