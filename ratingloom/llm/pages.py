@@ -66,11 +66,21 @@ _NEVER_TAGS = set(
 )
 _NEVER_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _NEVER_WORDS = re.compile(
-    r"(?<![a-z])(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumb\w*|side-?bar\w*|footer\w*|"
+    r"(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumb\w*|side-?bar\w*|footer\w*|"
     r"masthead|site-?header|page-?header|top-?bar|cookie\w*|consent|gdpr|notice\w*|alerts?|pop-?up\w*|modal\w*|overlay|"
     r"newsletter\w*|subscri\w*|sign-?up|share\w*|sharing|social\w*|related\w*|recommend\w*|read-?more|comments?|comment-?\w*|"
     r"disqus|repl(?:y|ies)|discussion|respond|widget\w*|pagination|pager|toolbar|log-?in|search\w*|skip-?link|hidden|"
-    r"visually-?hidden|sr-?only|outbrain|taboola|tag-?cloud)(?![a-z])"
+    r"visually-?hidden|sr-?only|outbrain|taboola|tag-?cloud)"
+)
+# Elements that a class or id never makes such a place, words of states and topics, and words that follow the naming one.
+_WHOLE_TAGS = {"html", "body", "main", "article"}
+_STATE_FIRST = set("has with without no not is tag tags category categories cat topic format status type".split())
+_STATE_LAST = set("open opened closed enabled disabled active inactive visible on off collapsed expanded fixed sticky".split())
+_HOLDERS = set(
+    "list lists item items box boxes bar bars area areas wrap wrapper container block blocks section link links icon icons "
+    "button buttons btn form inner outer left right top bottom primary secondary main row column col group content panel region "
+    "zone slot unit cta title heading label text body author avatar meta count copyright law policy message posts articles "
+    "stories news video videos toggle desktop mobile".split()
 )
 _MAIN_WORDS = re.compile(
     r"(?<![a-z])(?:article-?(?:body|content|text)|post-?(?:body|content|text)|entry-?(?:content|body)|story-?(?:body|content)|"
@@ -303,13 +313,27 @@ def _grow(template: Node, shape: Node, place: dict[int, Node]) -> None:
             stack.append(child)
 
 
-def _avoided(label: str) -> bool:
+def _names_other(value: str) -> bool:
+    """Whether a class or id, as a whole or by its head noun, names a place that holds no article text."""
+    if _NEVER_WORDS.fullmatch(value):
+        return True
+    parts = [p for p in (p.strip("0") for p in re.split("[^a-z0-9]+", value)) if len(p) > 1]
+    if not parts or parts[0] in _STATE_FIRST or parts[-1] in _STATE_LAST:
+        return False
+    while len(parts) > 1 and parts[-1] in _HOLDERS:
+        parts.pop()
+    return any(_NEVER_WORDS.fullmatch("-".join(parts[k:])) for k in range(max(0, len(parts) - 2), len(parts)))
+
+
+def _avoided(label: str, by_name: bool = True) -> bool:
     tag, *told = label.split(" ")
     if tag in _NEVER_TAGS or "hidden" in told:
         return True
     for t in told:
         name, _, value = t.partition("=")
-        if name == "role" and value in _NEVER_ROLES or name != "itemprop" and _NEVER_WORDS.search(value):
+        if name == "role" and value in _NEVER_ROLES:
+            return True
+        if by_name and name in ("class", "id") and tag not in _WHOLE_TAGS and _names_other(value):
             return True
         if name == "itemprop" and value in ("comment", "comments"):
             return True
@@ -338,14 +362,34 @@ def _wraps_article(node: Node) -> bool:
     return False
 
 
+def _holds_article(node: Node) -> bool:
+    """Whether an article element outside avoided places lies below a node."""
+    below = list(node.children)
+    while below:
+        child = below.pop()
+        if not _avoided(child.label):
+            if _rank(child.label) == 3:
+                return True
+            below.extend(child.children)
+    return False
+
+
 def content_nodes(template: Node, sums: dict[int, _Sums], pages: int) -> set[int]:
-    """The identities of a template's nodes whose text is content."""
+    """The identities of a template's nodes whose text is content.
+
+    If that leaves none, the names of places around an article are not heeded.
+    """
+    return _content(template, sums, pages, False) or _content(template, sums, pages, True)
+
+
+def _content(template: Node, sums: dict[int, _Sums], pages: int, around: bool) -> set[int]:
     own: list[tuple[Node, int]] = []  # nodes outside avoided places, with the best rank above or at them
     stack = [(template, 0)]
     while stack:
         node, rank = stack.pop()
         if node is not template and _avoided(node.label) and not _wraps_article(node):
-            continue
+            if not around or _avoided(node.label, by_name=False) or not _holds_article(node):
+                continue
         tag = node.label.split(" ")[0]
         # A page's header is no content, an article's is.
         if tag == "header" and rank == 0:

@@ -149,6 +149,22 @@ def test_main_text_without_article_element(spark):
     assert all(found[k].endswith(f"Story {k} one. Two {k}") and "Home" not in found[k] for k in range(6))
 
 
+def test_theme_classes_do_not_empty_a_page(spark):
+    bodies = ["has-sidebar", "with-sidebar", "no-sidebar", "comments-open", "nav-open"]
+    articles = ["post category-social-media", "tag-search-engines", "post"]
+    rows, every = [], [(b, "post", "wrap") for b in bodies] + [("", a, "wrap") for a in articles]
+    every += [("", "post", "has-sidebar"), ("", "post", "layout-sidebar"), ("", "post", "sidebar")]
+    for n, (body, article, around) in enumerate(every):
+        for k in range(6):
+            html = (
+                f"<html><body class='{body}'><div class=nav-menu>Go {k}</div><div class='{around}'><article class='{article}'><p>Text {k}</p>"
+                f"<div class=share-buttons>Share {k}</div><div class=ad-slot>Buy {k}</div></article></div><div class=widget-area>W {k}</div></body></html>"
+            )
+            rows.append((10 * n + k, f"http://h{n}.example/{k}", html))
+    found = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"Text {i % 10}" for i, _, _ in rows}
+
+
 def test_form_around_the_page():
     root, pieces = pages.parse("<form id=f><div class=nav>N</div><article><p>Text</p></article><form class=x>in</form></form>")
     pages._number(root)
