@@ -42,7 +42,8 @@ END, START = np.uint64(0xE4D0000000000001), np.uint64(0x57A4000000000001)
 BLOCK_WORDS = 1 << 19
 BITS_PER_ENTRY = 12
 PROBES = 6
-MAX_LEVEL = 24
+#: Enough for every 64-bit count; probing stops at the first miss.
+MAX_LEVEL = 64
 _BLOCK = (
     "block string, doc_id array<long>, held_out array<boolean>, n_tokens array<int>, "
     "vocabulary binary, positions binary"
@@ -58,8 +59,8 @@ def pair_numbers(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
-    """1 + floor(log2 count), at most :data:`MAX_LEVEL`."""
-    return np.minimum(np.frexp(counts.astype(float))[1], MAX_LEVEL)
+    """1 + floor(log2 count)."""
+    return np.frexp(counts.astype(float))[1]
 
 
 #: The middle of each level's counts on a log scale; level 0 is count 0.

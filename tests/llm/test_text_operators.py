@@ -223,6 +223,15 @@ def check_mix(df):
     return sorted((r.doc_id or 0, r["size"], r.taken) for r in rows)
 
 
+def test_levels_follow_large_counts():
+    counts = np.array([1, 2**23, 2**24, 50_000_000, 2**31, 2**40, 2**50])
+    numbers = words.mix(np.arange(len(counts), dtype=np.uint64))
+    levels = bloom_lm.probe_slice(numbers, bloom_lm.build_slice(numbers, counts))
+    read = bloom_lm.LEVEL_COUNTS[levels]
+    assert (levels == bloom_lm.levels_of(counts)).all()
+    assert (np.abs(np.log2(read / counts)) <= 0.5 + 1e-9).all()
+
+
 def test_mix_meets_targets(documents, odd_documents, no_documents):
     assert check_mix(documents) == check_mix(documents.repartition(3))
     check_mix(odd_documents)
