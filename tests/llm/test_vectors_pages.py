@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from ratingloom.llm import forest, pages, topk
+from ratingloom.llm.asking import Best
 
 ODD = [
     (None, [1.0, 0.0]), (1, None), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, [float("inf"), 1.0]), (5, [0.0, 0.0]),
@@ -34,7 +35,7 @@ def test_top_k_agrees_with_brute_force(spark, scale):
     rng = np.random.default_rng(1)
     rows = [(i, (rng.normal(size=8).round(1) * scale / (1e8 if scale > 1 else 1)).tolist()) for i in range(300)]
     rows += [(300 + i, rows[4][1]) for i in range(60)]
-    found = topk.top_k(vectors(spark, rows), modulus=7, k=5, shard_vectors=50)
+    found = topk.top_k(vectors(spark, rows), modulus=7, k=5)
     assert sorted(map(tuple, found.collect())) == brute_top(rows, 7, 5)
 
 
@@ -44,14 +45,45 @@ def test_top_k_odd_rows(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def searched(matrix, queries, own, k):
+    """The k best and the share of vectors scored, over shards of 1,000 with one carried state."""
+    best, scored = Best(len(queries), k), 0
+    for at in range(0, len(matrix), 1000):
+        shard = topk.Shard(np.arange(at, min(at + 1000, len(matrix))), matrix[at : at + 1000])
+        scored += shard.search(queries, own, best)
+    want = []
+    for q, (a, o) in enumerate(zip(queries, own)):
+        found = sorted((-int(s), i) for i, s in enumerate(matrix @ a) if i != o)[:k]
+        want += [(q, i, -s) for s, i in found]
+    assert list(zip(best.group.tolist(), best.ids.tolist(), best.scores.tolist())) == want
+    return scored / (len(matrix) * len(queries))
+
+
 def test_threshold_stops_early():
     rng = np.random.default_rng(2)
     matrix = np.sort(rng.integers(0, 100, (2000, 3)), axis=0)[::-1]
-    shard = topk.Shard(np.arange(2000), matrix)
-    ids, scores, scored = shard.search(np.array([2, 1, 1]), -1, 5)
-    want = sorted((-int(s), i) for i, s in enumerate(matrix @ np.array([2, 1, 1])))[:5]
-    assert [(-s, i) for s, i in zip(scores.tolist(), ids.tolist())] == want
-    assert scored < 500
+    assert searched(matrix, np.array([[2, 1, 1], [1, 0, 3]]), np.array([-1, 4]), 5) < 0.25
+
+
+def test_threshold_bound_is_carried_to_later_shards():
+    rng = np.random.default_rng(3)
+    matrix = rng.integers(-9, 10, (6000, 4))
+    matrix[:1000] += rng.integers(0, 2, (1000, 1)) * 40  # only the first shard holds winners
+    queries = rng.integers(1, 9, (50, 4))
+    assert searched(matrix, queries, np.arange(50), 5) < 0.4
+
+
+def test_threshold_stays_exact_where_nothing_can_be_skipped():
+    rng = np.random.default_rng(4)
+    matrix = rng.integers(-9, 10, (2500, 24))
+    assert searched(matrix, matrix[:40] - 1, np.arange(40), 7) >= 1
+
+
+def test_top_k_in_passes_of_bounded_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk.in_passes, "__defaults__", (3000,))
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).round(1).tolist()) for i in range(300)]
+    assert sorted(map(tuple, topk.top_k(vectors(spark, rows), modulus=7, k=5).collect())) == brute_top(rows, 7, 5)
 
 
 def brute_links(rows, bound=0.9):
