@@ -174,3 +174,61 @@ counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN smallest USING (vec_id) LEFT JOIN counted USING (vec_id)
 """
+
+_SQL["op13_slot_negatives"] = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS parts
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+         list_dot_product(a.parts, b.parts)::BIGINT AS score
+  FROM usable a JOIN usable b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id,
+       (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same
+  AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+def _rounds(count: int) -> str:
+    """Rounds of assigning to the nearest centroid and taking floors of means."""
+    return "".join(f"""
+near{r} AS (
+  SELECT vec_id, parts, arg_min(n, (d, n)) AS n, min(d) AS d
+  FROM (SELECT v.vec_id, v.parts, c.n,
+               list_dot_product(v.parts, v.parts) - 2 * list_dot_product(v.parts, c.parts)
+               + list_dot_product(c.parts, c.parts) AS d
+        FROM usable v, centroids{r} c)
+  GROUP BY vec_id, parts),""" + (f"""
+centroids{r + 1} AS (
+  SELECT n, coalesce(m.parts, c.parts) AS parts
+  FROM centroids{r} c LEFT JOIN (
+    SELECT n, list(mean ORDER BY k) AS parts
+    FROM (SELECT n, k, floor(sum(x) / count(*)) AS mean
+          FROM (SELECT n, unnest(parts) AS x, generate_subscripts(parts, 1) AS k FROM near{r}) GROUP BY n, k)
+    GROUP BY n) m USING (n)),""" if r < count else "") for r in range(count + 1))
+
+
+_SQL["op11_curve_centroids"] = f"""
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS parts
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+centroids0 AS (
+  SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id)))::INT - 1 AS n, parts
+  FROM usable QUALIFY n < 40),{_rounds(5)}
+sums AS (SELECT n, sum(d)::BIGINT AS cluster_inertia FROM near5 GROUP BY n)
+SELECT vec_id, n::INT AS cluster, d::BIGINT AS distance, cluster_inertia,
+       (SELECT sum(d)::BIGINT FROM near5) AS inertia,
+       sha256(array_to_string(list_transform(c.parts, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256
+FROM near5 JOIN sums USING (n) JOIN centroids5 c USING (n)
+"""

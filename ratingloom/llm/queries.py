@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingloom.llm import bitplane, bloom_lm, forest, mixing, ngram_join, packing, pages, quality, repeats, topk
+from ratingloom.llm import (
+    bitplane, bloom_lm, curve, forest, mining, mixing, ngram_join, packing, pages, quality, repeats, topk, toxic,
+)
 from ratingloom.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +77,19 @@ def op3_forest_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op2_wrapper_text(spark: SparkSession, sf: str) -> DataFrame:
     return pages.main_text(table(spark, sf, "pages"))
+
+
+@query
+def op11_curve_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    return curve.cluster(table(spark, sf, "embeddings")).drop("compared")
+
+
+@query
+def op12_crf_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    judged = toxic.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return judged.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op13_slot_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return mining.hard_negatives(table(spark, sf, "embeddings"))
