@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratingloom.llm.rows import carried, crc_remainder, digest
-from ratingloom.llm.words import as_bytes, chunked, mix, powers
+from ratingloom.llm.words import chunked, mix, powers
+from ratingloom.session import stage
 
 #: Labelled rows that the model is fitted on, at most, and the bytes of their texts, at most.
-FIT_DOCUMENTS, FIT_BYTES = 5000, 16 << 20
+FIT_DOCUMENTS, FIT_BYTES = 4000, 8 << 20
 #: Of every so many rows of the sample one is kept for the score.
 CALIBRATION = 4
 TABLE = 1 << 18
@@ -80,13 +81,14 @@ class Tokens:
             ends = np.minimum(self.starts + n, self.ends)
             self.keys.append(mix((sums[ends] - sums[self.starts]) * unwind) ^ _U(n))
 
-    def evidence(self) -> list[np.ndarray]:
-        """For every kind of evidence each token's place in the table of weights."""
+    def evidence(self) -> np.ndarray:
+        """A row per kind of evidence: each token's place in the table of weights."""
         word = self.keys[0]
         before, after = np.roll(word, 1), np.roll(word, -1)
         before[self.opens] = 0
         after[np.roll(self.opens, -1)] = 0
-        return [(mix(k + _U(1 + n)) % _U(TABLE)).astype(np.int64) for n, k in enumerate([*self.keys, before ^ _U(3), after ^ _U(5)])]
+        keys = [*self.keys, before ^ _U(3), after ^ _U(5)]
+        return np.stack([(mix(k + _U(1 + n)) % _U(TABLE)).astype(np.int32) for n, k in enumerate(keys)])
 
     def places(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where tokens start and end, in characters of their own text."""
@@ -110,59 +112,47 @@ def chain(unary: np.ndarray, opens: np.ndarray, moves: np.ndarray) -> tuple[np.n
         return np.zeros(0), np.zeros((0, 4)), 0.0
     length = max(1, int(np.sqrt(n)))
     runs = -(-n // length)
-    fill = runs * length - n
 
     def laid(values: np.ndarray, end: float) -> np.ndarray:
-        return np.ascontiguousarray(np.append(values, np.full(fill, end)).reshape(runs, length).T)
+        return np.append(values, np.full(runs * length - n, end)).reshape(runs, length).T
 
-    lift = np.exp(np.clip(unary, -50, 50))
+    lift = laid(np.exp(np.clip(unary, -50, 50)), 1.0)
     weight = np.exp(moves)
-    begin = weight[:2]
-    step = weight[2:].reshape(2, 2)
-    # m[i][j]: from state i of the token before to state j of this one; a text's start forgets the token before.
-    open_ = laid(opens.astype(float), 1.0) > 0
-    risen = laid(lift, 1.0)
-    m = [[np.where(open_, begin[j], step[i, j]) * (risen if j else 1.0) for j in (0, 1)] for i in (0, 1)]
-    # Products of whole runs, both ways from both states.
-    p = [[np.full(runs, float(i == j)) for j in (0, 1)] for i in (0, 1)]
-    for t in range(length):
-        p = [[p[i][0] * m[0][j][t] + p[i][1] * m[1][j][t] for j in (0, 1)] for i in (0, 1)]
-        size = p[0][0] + p[0][1] + p[1][0] + p[1][1]
-        p = [[x / size for x in row] for row in p]
-    enter = np.empty((runs, 2))
-    state = np.array([1.0, 0.0])
-    for r in range(runs):
-        enter[r] = state
-        state = np.array([state[0] * p[0][j][r] + state[1] * p[1][j][r] for j in (0, 1)])
-        state /= state.sum()
-    leave = np.empty((runs, 2))
-    state = np.array([0.5, 0.5])
-    for r in range(runs - 1, -1, -1):
-        leave[r] = state
-        state = np.array([p[i][0][r] * state[0] + p[i][1][r] * state[1] for i in (0, 1)])
-        state /= state.sum()
-    before = np.empty((length, 2, runs))
-    a0, a1 = enter[:, 0].copy(), enter[:, 1].copy()
-    total = np.zeros(runs)
-    real = laid(np.ones(n), 0.0)
-    for t in range(length):
-        before[t, 0], before[t, 1] = a0, a1
-        a0, a1 = a0 * m[0][0][t] + a1 * m[1][0][t], a0 * m[0][1][t] + a1 * m[1][1][t]
-        size = a0 + a1
-        total += np.log(size) * real[t]
-        a0, a1 = a0 / size, a1 / size
-    both = np.empty((length, 4, runs))
-    b0, b1 = leave[:, 0].copy(), leave[:, 1].copy()
+    open_ = laid(opens, True).astype(bool)
+    # m[t, i, j]: from state i of the token before to state j; a text's start forgets the token before.
+    m = np.empty((length, 2, 2, runs))
+    for i in (0, 1):
+        for j in (0, 1):
+            m[:, i, j] = np.where(open_, weight[j], weight[2 + 2 * i + j]) * (lift if j else 1.0)
+    # Products of whole runs, from both states at once.
+    p = np.repeat(np.eye(2)[:, :, None], runs, axis=2)
+    for step in m:
+        p = p[:, :1] * step[0] + p[:, 1:] * step[1]
+        p /= p.sum((0, 1))
+    enter, leave = np.empty((2, runs)), np.empty((2, runs))
+    a0, a1, b0, b1 = 1.0, 0.0, 0.5, 0.5
+    for r, ((p00, p01), (p10, p11)) in enumerate(p.transpose(2, 0, 1).tolist()):
+        enter[0, r], enter[1, r] = a0, a1
+        a0, a1 = a0 * p00 + a1 * p10, a0 * p01 + a1 * p11
+        a0, a1 = a0 / (a0 + a1), a1 / (a0 + a1)
+    for r, ((p00, p01), (p10, p11)) in reversed([*enumerate(p.transpose(2, 0, 1).tolist())]):
+        leave[0, r], leave[1, r] = b0, b1
+        b0, b1 = p00 * b0 + p01 * b1, p10 * b0 + p11 * b1
+        b0, b1 = b0 / (b0 + b1), b1 / (b0 + b1)
+    before, sizes, state = np.empty((length, 2, runs)), np.empty((length, runs)), enter
+    for t, step in enumerate(m):
+        before[t] = state
+        state = state[0] * step[0] + state[1] * step[1]
+        sizes[t] = state.sum(0)
+        state = state / sizes[t]
+    after, state = np.empty((length, 2, runs)), leave
     for t in range(length - 1, -1, -1):
-        c0, c1 = before[t]
-        both[t, 0], both[t, 1] = c0 * m[0][0][t] * b0, c0 * m[0][1][t] * b1
-        both[t, 2], both[t, 3] = c1 * m[1][0][t] * b0, c1 * m[1][1][t] * b1
-        both[t] /= both[t].sum(0)
-        b0, b1 = m[0][0][t] * b0 + m[0][1][t] * b1, m[1][0][t] * b0 + m[1][1][t] * b1
-        size = b0 + b1
-        b0, b1 = b0 / size, b1 / size
-    pair = both.transpose(2, 0, 1).reshape(-1, 4)[:n]
-    return pair[:, 1] + pair[:, 3], pair, float(total.sum())
+        after[t] = state
+        state = m[t, :, 0] * state[0] + m[t, :, 1] * state[1]
+        state = state / state.sum(0)
+    pair = before[:, :, None] * m * after[:, None]
+    pair = (pair / pair.sum((1, 2), keepdims=True)).transpose(3, 0, 1, 2).reshape(-1, 4)[:n]
+    return pair[:, 1] + pair[:, 3], pair, float(np.log(sizes.T.ravel()[:n]).sum())
 
 
 @dataclass
@@ -175,10 +165,7 @@ class Model:
 
     def marginals(self, tokens: Tokens) -> np.ndarray:
         """Every token's probability of being offending."""
-        unary = np.zeros(len(tokens.starts))
-        for place in tokens.evidence():
-            unary += self.table[place]
-        return chain(unary, tokens.opens, self.moves)[0]
+        return chain(self.table[tokens.evidence()].sum(0), tokens.opens, self.moves)[0]
 
     def score(self, tokens: Tokens, marginals: np.ndarray) -> np.ndarray:
         """Every document's probability of being toxic."""
@@ -200,49 +187,52 @@ def document_evidence(tokens: Tokens, marginals: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(texts), np.minimum(hoped, 5.0), np.log(hoped + 0.02), share, most], axis=1)
 
 
-def token_labels(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
-    """Which tokens are offending, given which of the (different) texts are toxic."""
-    bad = toxic[tokens.owner]
+def token_labels(parts: list[Tokens], toxic: np.ndarray) -> list[np.ndarray]:
+    """Which tokens are offending, given which of the (different) texts are toxic; the texts come in parts."""
+    first = np.cumsum([0, *(len(p.counts) for p in parts)])
+    owner = np.concatenate([p.owner + f for p, f in zip(parts, first)]).astype(np.int32)
+    bad = toxic[owner]
     weight = np.array([(~bad).sum(), bad.sum()]) + 1.0
     out, open_ = np.zeros(len(bad), bool), bad.copy()
-    for keys in tokens.keys:
-        known, at = np.unique(keys, return_inverse=True)
-        seen = np.unique(at * len(toxic) + tokens.owner)
+    for level in range(1 + len(BEGINNINGS)):
+        known, at = np.unique(np.concatenate([p.keys[level] for p in parts]), return_inverse=True)
+        seen = np.unique(at * len(toxic) + owner)
         texts = np.bincount(seen // len(toxic), minlength=len(known))
         held = np.bincount(seen // len(toxic), toxic[seen % len(toxic)], len(known))
         held, other = held + 0.5, texts - held + 0.5
         # Two standard errors below the logarithm of the ratio of the two frequencies.
         low = np.log(held / other * weight[0] / weight[1]) - 2 * np.sqrt(1 / held + 1 / other)
-        enough = open_ & (texts[at] >= SUPPORT)
-        out |= enough & (low[at] >= np.log(RATIO))
+        enough = open_ & (texts >= SUPPORT)[at]
+        out |= enough & (low >= np.log(RATIO))[at]
         open_ &= ~enough
-    return out
+    return np.split(out, np.cumsum([len(p.owner) for p in parts])[:-1])
 
 
-def slopes(tokens: Tokens, places: list[np.ndarray], labels: np.ndarray, table: np.ndarray, moves: np.ndarray) -> tuple:
+def slopes(opened: np.ndarray, places: np.ndarray, labels: np.ndarray, table: np.ndarray, moves: np.ndarray) -> tuple:
     """The log likelihood of labelled tokens, and its slopes by the table and by the moves."""
-    unary = sum(table[p] for p in places)
-    one, pair, total = chain(unary, tokens.opens, moves)
+    unary = table[places].sum(0)
+    one, pair, total = chain(unary, opened, moves)
     state = labels.astype(np.int64)
-    move = np.where(tokens.opens, state, 2 + 2 * np.roll(state, 1) + state)
+    move = np.where(opened, state, 2 + 2 * np.roll(state, 1) + state)
     gain = float(unary[labels].sum() + moves[move].sum() - total)
-    by_table = np.zeros(len(table))
-    for p in places:
-        by_table += np.bincount(p, labels - one, len(table))
-    opened = tokens.opens
+    by_table = np.bincount(places.ravel(), np.tile(labels - one, len(places)), len(table))
     expected = np.concatenate(([(1 - one)[opened].sum(), one[opened].sum()], pair[~opened].sum(0)))
     return gain, by_table, np.bincount(move, minlength=6) - expected
 
 
-def fit_chain(tokens: Tokens, labels: np.ndarray, steps: int = STEPS, keep: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the chain that make the token labels likely, by Adam on the penalised log likelihood."""
-    places = tokens.evidence()
+def fit_chain(parts: list[tuple], steps: int = STEPS, keep: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the chain that make the token labels likely, by Adam on the penalised log likelihood.
+
+    Each part holds which tokens open a text, their evidence and their labels.
+    """
     weights = [np.zeros(TABLE), np.array([0.0, -4.0, 0.0, -4.0, 0.0, -4.0])]
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
     for step in range(1, steps + 1):
-        _, *found = slopes(tokens, places, labels, *weights)
+        found = [-keep * w for w in weights]
+        for part in parts:
+            for total, slope in zip(found, slopes(*part, *weights)[1:]):
+                total += slope
         for k, slope in enumerate(found):
-            slope = slope - keep * weights[k]
             one, two = moments[k]
             one += 0.1 * (slope - one)
             two += 0.01 * (slope**2 - two)
@@ -261,27 +251,37 @@ def fit_score(evidence: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return last
 
 
-def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
+def fit(texts: list[str | None], toxic: np.ndarray) -> Model:
     """A model from labelled texts; with labels of one kind only, the score is their smoothed share."""
     prior = (toxic.sum() + 1) / (len(toxic) + 2)
     plain = Model(np.zeros(TABLE), np.array([0.0, -9.0, 0.0, -9.0, 0.0, -9.0]), np.array([np.log(prior / (1 - prior)), 0, 0, 0, 0]))
     if len(set(toxic.tolist())) < 2:
         return plain
     # Copies of a text say nothing new; of differing labels toxic counts.
-    different: dict[bytes, bool] = {}
+    different: dict[str, bool] = {}
     for text, bad in zip(texts, toxic.tolist()):
-        different[text] = different.get(text, False) or bool(bad)
+        different[text or ""] = different.get(text or "", False) or bool(bad)
     texts, toxic = list(different), np.array(list(different.values()))
     later = np.arange(len(texts)) % CALIBRATION == CALIBRATION - 1
-    if len(set(toxic[later].tolist())) < 2:
-        later[:] = True
-    tokens = Tokens(texts)
-    labels = token_labels(tokens, toxic)
-    seen = Tokens([t for t, no in zip(texts, later) if not no or later.all()])
-    part = labels if later.all() else labels[~later[tokens.owner]]
-    model = Model(*fit_chain(seen, part), plain.last)
-    kept = Tokens([t for t, yes in zip(texts, later) if yes])
-    model.last = fit_score(document_evidence(kept, model.marginals(kept)), toxic[later].astype(float))
+    # Texts for the score stand last, so that the others fill the first parts.
+    order = np.argsort(later, kind="stable")
+    texts, toxic = [texts[k] for k in order], toxic[order]
+    first = int((~later).sum())
+    if len(set(toxic[first:].tolist())) < 2:
+        first = 0
+    blocks = [*chunked(texts[:first]), *chunked(texts[first:])]
+    parts = [Tokens(b) for b in blocks]
+    labels = token_labels(parts, toxic)
+    begins = np.cumsum([0, *map(len, blocks)])
+    seen = [(p.opens, p.evidence(), held) for p, held, at in zip(parts, labels, begins) if at < first or first == 0]
+    kept = [b for b, at in zip(blocks, begins) if at >= first]
+    del parts, labels
+    model = Model(*fit_chain(seen), plain.last)
+    evidence = []
+    for block in kept:
+        tokens = Tokens(block)
+        evidence.append(document_evidence(tokens, model.marginals(tokens)))
+    model.last = fit_score(np.vstack(evidence), toxic[first:].astype(float))
     return model
 
 
@@ -298,12 +298,16 @@ def train(
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     # Bounded by ``limit``, so it can be sent everywhere.
     known = known.withColumn("turn", digest(5, F.col("doc_id"))).orderBy("turn", "doc_id").limit(limit)
-    chosen = documents.select("doc_id", F.col("text")).join(F.broadcast(known), "doc_id").orderBy("turn", "doc_id", "text").limit(limit)
-    so_far = F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(
-        Window.orderBy("turn", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    found = chosen.withColumn("so_far", so_far).filter(F.col("so_far") <= most).orderBy("turn", "doc_id", "text").collect()
-    return fit([as_bytes(r["text"]) for r in found], np.array([r["toxic"] > 0 for r in found], bool))
+    marked = documents.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    # The sample is chosen without its texts, which are fetched once it is known to be small.
+    found = marked.join(F.broadcast(known), "doc_id").select("doc_id", "mark", "turn", "toxic", size.alias("size")).distinct()
+    so_far = F.sum("size").over(Window.orderBy("turn", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = found.orderBy("turn", "doc_id", "mark").limit(limit).withColumn("so_far", so_far).filter(F.col("so_far") <= most)
+    chosen = stage(chosen.drop("size", "so_far"), "toxic-sample")
+    found = marked.join(F.broadcast(chosen), ["doc_id", "mark"]).groupBy("turn", "doc_id", "mark", "toxic").agg(F.min("text").alias("text"))
+    found = sorted(found.collect(), key=lambda r: (r["turn"], r["doc_id"], r["mark"]))
+    return fit([r["text"] for r in found], np.array([r["toxic"] > 0 for r in found], bool))
 
 
 _ADDED = "score double, spans array<struct<start:long,end:long,probability:double>>"
