@@ -73,6 +73,14 @@ cosine AS (SELECT i, j, dot / (a.norm * b.norm) AS sim FROM dots
 both_ways AS (SELECT i, j, sim FROM cosine UNION ALL SELECT j, i, sim FROM cosine)"""
 
 
+def _nearest(n: int) -> str:
+    return f"""
+near AS (SELECT * FROM (
+  SELECT i, j, {_r('sim')} AS sim,
+         CAST(row_number() OVER (PARTITION BY i ORDER BY {_r('sim')} DESC, j) AS BIGINT) AS rank
+  FROM both_ways WHERE sim <> 0) WHERE rank <= {n})"""
+
+
 def _item_scores(cells: str, pairs: str) -> str:
     return f"""
 scores AS (
@@ -275,6 +283,18 @@ SELECT "user", string_agg(item || ':' || rating || ',', '' ORDER BY item) AS val
         "user_cosine_dense": f"WITH cells AS ({RATINGS_BRAND}), {_cosine('cells', 'item', '\"user\"')} SELECT i, j, {_r('sim')} AS sim FROM cosine",
         "user_similarity_table": f"WITH cells AS ({RATINGS_SUPPLIER}), {_cosine('cells', 'item', '\"user\"')} "
         f"SELECT i, j, {_r('0.5 + 0.5 * sim')} AS sim FROM both_ways",
+        "item_cosine_above": f"WITH cells AS ({RATINGS_SUPPLIER}), {_cosine('cells', '\"user\"', 'item')} "
+        f"SELECT i, j, {_r('sim')} AS sim FROM cosine WHERE sim >= 0.45",
+        "user_cosine_above": f"WITH cells AS ({RATINGS_PART}), {_cosine('cells', 'item', '\"user\"')} "
+        f"SELECT i, j, {_r('sim')} AS sim FROM cosine WHERE sim >= 0.1",
+        "user_neighbours": f"WITH cells AS ({RATINGS_PART}), {_cosine('cells', 'item', '\"user\"')}, {_nearest(20)} "
+        """SELECT i AS "user", rank, j AS neighbour, sim FROM near""",
+        "usercf_predict_near": f"WITH cells AS ({RATINGS_PART}), {_cosine('cells', 'item', '\"user\"')}, {_nearest(20)}, "
+        "named AS (SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM near), "
+        "kept AS (SELECT c.i, c.j, c.sim FROM cosine c JOIN named ON a = i AND b = j), "
+        "both_kept AS (SELECT i, j, sim FROM kept UNION ALL SELECT j, i, sim FROM kept), "
+        f"""{_user_scores('cells', 'cells').replace('both_ways', 'both_kept')}
+SELECT "user", item, {_r('score')} AS score FROM scores WHERE score IS NOT NULL""",
         "itemcf_predict": f"WITH cells AS ({RATINGS_BRAND}), {_cosine('cells', '\"user\"', 'item')}, "
         f"""{_item_scores('cells', 'cells')} SELECT "user", item, {_r('score')} AS score FROM scores""",
         "itemcf_recommend": f"{item_best} SELECT * FROM best",

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ratingloom.functions.basket import joined
 from ratingloom.functions.numeric import stable_round
-from ratingloom.operators import als, cells, gram, index, itemcf, itemsets, normalise, sampling, similarity, svd, svdcf, usercf
+from ratingloom.operators import (
+    als, cells, gram, index, itemcf, itemsets, neighbours, normalise, sampling, similarity, svd, svdcf, usercf,
+)
 from ratingloom.operators.fpgrowth import fp_itemsets
 from ratingloom.operators.grid import grid_pairs
 from ratingloom.plans import jobs
@@ -376,6 +378,36 @@ def usercf_rmse(spark: SparkSession, sf: str) -> DataFrame:
     return _error(usercf.evaluate(training, test, _user_model(training)))
 
 
+#: Cosines of parts and of customers that count as similar, and the length of neighbour lists.
+SIMILAR_PARTS, SIMILAR_CUSTOMERS, NEAREST = 0.45, 0.1, 20
+
+
+@query
+def item_cosine_above(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts that the same suppliers sell alike, by an index that leaves most products out."""
+    return _sims(neighbours.similar_pairs(_supplier(spark, sf), SIMILAR_PARTS))
+
+
+@query
+def user_cosine_above(spark: SparkSession, sf: str) -> DataFrame:
+    return _sims(neighbours.similar_users(_part(spark, sf), SIMILAR_CUSTOMERS))
+
+
+@query
+def user_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest customers of every customer, exactly."""
+    near = _sims(neighbours.nearest_users(_part(spark, sf), NEAREST))
+    return near.select(F.col("item").alias("user"), "rank", "neighbour", "sim")
+
+
+@query
+def usercf_predict_near(spark: SparkSession, sf: str) -> DataFrame:
+    """A user-based model whose table holds each customer's nearest ones, not all pairs."""
+    rated = _part(spark, sf)
+    near = stage(neighbours.neighbour_weights(neighbours.nearest_users(rated, NEAREST)), "cosine")
+    return _scores(usercf.predict(rated, rated, near))
+
+
 # --- factor models ----------------------------------------------------------
 
 
