@@ -35,8 +35,8 @@ def keep_one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Substring dedup: long runs that an earlier document has are cut out; other texts stay as they are."""
-    cut = repeats.remove_repeats(docs)
+    """Substring dedup: long runs that an earlier document has are cut out; all other words keep their white space."""
+    cut = repeats.remove_repeats(docs, spaces=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     cut = cut.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -125,9 +125,12 @@ def brute_repeats(rows, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("limits", [(64, 4096), (1, 2)])
-def test_repeats_agree_with_brute_force(spark, monkeypatch, limits):
-    monkeypatch.setattr(repeats, "PREFIX_DOCUMENTS", limits)
+def removed(df):
+    return sorted(map(tuple, df.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str)
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_repeats_agree_with_brute_force(spark, hot):
     rng = np.random.default_rng(8)
     few = [f"t{i}" for i in range(3)]
     passage = [f"p{i}" for i in range(80)]
@@ -138,8 +141,64 @@ def test_repeats_agree_with_brute_force(spark, monkeypatch, limits):
         piece = passage[int(rng.integers(0, 30)) : int(rng.integers(50, 81))] if i % 3 else [few[0]] * int(rng.integers(0, 130))
         rows.append((int(i), " ".join(body[:at] + piece + body[at:])))
     rows.append((40, rows[7][1]))
-    found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(map(tuple, found.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str) == brute_repeats(rows, 50)
+    found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot)
+    assert removed(found) == brute_repeats(rows, 50)
+
+
+@pytest.mark.parametrize("hot", [4096, 20])
+def test_one_passage_in_a_third_of_the_documents(spark, hot):
+    rng = np.random.default_rng(12)
+    passage = [f"p{i}" for i in range(70)]
+    rows = []
+    for i in range(300):
+        body = [f"u{rng.integers(10**9)}" for _ in range(60)]
+        at = int(rng.integers(0, 61))
+        rows.append((i, " ".join(body[:at] + (passage if i % 3 == 0 else []) + body[at:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removed(repeats.remove_repeats(docs, hot=hot)) == brute_repeats(rows, 50)
+    lines = [r.repeats for r in repeats.repeated_runs(docs, hot=hot).collect()]
+    # A row per run, not per window: each of the 99 later documents repeats 21 windows.
+    assert len(lines) == 99 and sum(map(len, lines)) < 99 * 4
+
+
+def brute_depths(slices, documents, window):
+    """For every suffix how many words it shares at most with one of a smaller document, from the window on."""
+    out = []
+    for a, own in zip(slices, documents):
+        for p in range(len(a) - window + 1):
+            best = 0
+            for b, other in zip(slices, documents):
+                for q in range(len(b) - window + 1) if other < own else ():
+                    n = 0
+                    while p + n < len(a) and q + n < len(b) and a[p + n] == b[q + n]:
+                        n += 1
+                    best = max(best, n if n >= window else 0)
+            out.append(best)
+    return out
+
+
+def test_subtrees_give_maximal_repeats():
+    rng = np.random.default_rng(13)
+    for letters, window in ((2, 4), (3, 3), (30, 3)):
+        slices = [rng.integers(0, letters, rng.integers(1, 25)).astype(np.uint64) for _ in range(12)]
+        slices[5] = np.concatenate((slices[2], slices[3]))
+        documents = np.array([4, 4, 9, 1, 7, 7, 2, 9, 3, 1, 5, 6])
+        tree = repeats.Subtree(np.concatenate(slices), np.array([len(s) for s in slices]), window)
+        depth = tree.repeats(documents)
+        assert depth.tolist() == brute_depths(slices, documents, window)
+        chosen = tree.maximal(depth)
+        runs = [(tree.slice[k], tree.place[k], tree.place[k] + depth[k]) for k in chosen]
+        # None lies in another one, and together they cover what all suffixes cover.
+        assert not any(a != b and a[0] == b[0] and b[1] <= a[1] and a[2] <= b[2] for a in runs for b in runs)
+        every = {(s, w) for s, p, d in zip(tree.slice, tree.place, depth) for w in range(p, p + d)}
+        assert {(s, w) for s, a, b in runs for w in range(a, b)} == every
+
+
+def test_cut_texts_keep_white_space(spark):
+    shared = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, shared), (2, f"First line.\n\n\tSecond  one\n{shared}\nlast\n")]
+    found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), spaces=True).orderBy("doc_id").collect()
+    assert [r.kept for r in found] == [shared, "First line.\n\n\tSecond  one\nlast"]
 
 
 def test_repeats_odd_rows(odd_documents, no_documents):
