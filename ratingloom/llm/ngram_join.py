@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratingloom.llm.components import components, spanned
-from ratingloom.llm.rows import as_array, buckets_of, sized
+from ratingloom.llm.rows import as_array, buckets_of, sized, tidied
 from ratingloom.llm.words import fingerprint, grams, word_arrays
 from ratingloom.session import stage
 
@@ -72,7 +72,7 @@ def shingle_sets(documents: DataFrame, width: int, percent: int) -> DataFrame:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "n": sizes, "print": prints, "least": least})
 
     chosen = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    found = chosen.mapInPandas(described, "doc_id string, n long, print binary, least binary")
+    found = chosen.mapInPandas(tidied(described), "doc_id string, n long, print binary, least binary")
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -224,7 +224,7 @@ def _verified(documents: DataFrame, clusters: DataFrame, width: int, percent: in
         return pd.DataFrame({"a": ids[roots], "b": ids[linked]})
 
     found = chosen.mapInPandas(
-        described, "doc_id long, component long, bundle long, tiles int, side int, elements binary"
+        tidied(described), "doc_id long, component long, bundle long, tiles int, side int, elements binary"
     )
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     dealt = found.withColumn("other", other).select(

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from ratingloom.llm.rows import tidied
 from ratingloom.llm.tokens import encoder
 from ratingloom.operators.index import dense_index
 from ratingloom.session import stage
@@ -161,7 +162,7 @@ def _tokens(documents: DataFrame, end_id: int, vocabulary: str | None) -> DataFr
             ids = [squeeze.compress(coder.encode(t.as_py()) + end) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], schema=kinds)
 
-    return chosen.mapInArrow(encoded, _TOKENS)
+    return chosen.mapInArrow(tidied(encoded), _TOKENS)
 
 
 def _unpacked(blobs: pa.Array) -> Iterator[np.ndarray]:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from ratingloom.llm.rows import as_array, buckets_of
+from ratingloom.llm.rows import as_array, buckets_of, tidied
 from ratingloom.llm.words import WORD, Runs, fingerprint, grams, word_arrays
 from ratingloom.session import stage
 
@@ -156,7 +156,7 @@ def _profiles(documents: DataFrame, window: int) -> DataFrame:
             out = pd.DataFrame({"doc_id": frame["doc_id"], "text_hash": frame["text_hash"], "print": prints, "anchors": anchors})
             yield out[out["print"].notna()]
 
-    return documents.mapInPandas(described, "doc_id long, text_hash long, print binary, anchors array<long>")
+    return documents.mapInPandas(tidied(described), "doc_id long, text_hash long, print binary, anchors array<long>")
 
 
 #: A slice: its document and text, its number, its words, and where in the text it begins, once or more.
@@ -249,7 +249,7 @@ def _suffixes(documents: DataFrame, window: int, buckets: int, parts: int, hot:
             yield pd.DataFrame(out)
 
     shape = "kind int, bucket int, part int, " + ", ".join(f"{n} binary" for n in blobs)
-    return documents.mapInPandas(cut, shape)
+    return documents.mapInPandas(tidied(cut), shape)
 
 
 def _columns(group: pd.DataFrame, names: dict[str, str]) -> dict[str, np.ndarray]:
@@ -452,4 +452,4 @@ def remove_repeats(
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *columns], schema=shape)
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(tidied(cut), schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -61,6 +62,20 @@ def as_array(blob: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(blob, kind)
 
 
+def tidied(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``function`` over batches, giving freed memory back to the system at its end: workers outlive their tasks."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # not the GNU library
+
+    return run
+
+
 def frame(**columns: object) -> pd.DataFrame:
     """A pandas frame from named columns."""
     return pd.DataFrame(columns)
@@ -84,4 +99,4 @@ def carried(df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterator
             new = [pa.array(found[n], shape.field(n).type) for n in names]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema=shape)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)

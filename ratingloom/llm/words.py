@@ -53,8 +53,10 @@ _POWERS: dict[int, np.ndarray] = {}
 
 def powers(base: int, n: int) -> np.ndarray:
     """``base`` to the powers 0 .. n-1, modulo 2**64."""
-    if len(_POWERS.get(base, ())) < n:
-        _POWERS[base] = _powers(base, max(n, 2 * CHUNK_BYTES))
+    if n > 2 * CHUNK_BYTES:
+        return _powers(base, n)  # one very long text; not kept
+    if base not in _POWERS:
+        _POWERS[base] = _powers(base, 2 * CHUNK_BYTES)
     return _POWERS[base][:n]
 
 
