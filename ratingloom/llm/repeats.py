@@ -46,7 +46,9 @@ ANCHOR_WORDS = 8
 #: Suffixes of one slice at most: a slice has fewer than 128 words with windows of 50.
 SLICE_SUFFIXES = 64
 #: Documents of an anchor beyond which its suffixes take whole windows as prefixes.
-HOT_DOCUMENTS = 4096
+HOT_DOCUMENTS = 1024
+#: Words of the slices whose subtree is built at once, about; a group may have several subtrees.
+TREE_WORDS = 1 << 18
 #: Suffixes of one group, about.
 GROUP_SUFFIXES = 1 << 18
 _REPEATS = "doc_id long, text_hash long, start int, length int"
@@ -64,7 +66,7 @@ def anchors_of(words: np.ndarray, window: int) -> np.ndarray:
 
 
 def ragged(order: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Where the items of lists that lie one after another go when the lists are reordered."""
+    """Where the items of some lists, in the given order, stand among those of all lists one after another."""
     first = np.cumsum(sizes) - sizes
     taken = sizes[order]
     return np.repeat(first[order] - (np.cumsum(taken) - taken), taken) + np.arange(int(taken.sum()))
@@ -159,8 +161,8 @@ def _profiles(documents: DataFrame, window: int) -> DataFrame:
     return documents.mapInPandas(tidied(described), "doc_id long, text_hash long, print binary, anchors array<long>")
 
 
-#: A slice: its document and text, its number, its words, and where in the text it begins, once or more.
-_SLICES = {"documents": "<i8", "hashes": "<i8", "prints": "<u8", "sizes": "<i8", "times": "<i8", "words": "<u8", "begins": "<i4"}
+#: A slice: its anchor, its document and text, its number, its words, and where in the text it begins, once or more.
+_SLICES = {"anchors": "<u8", "documents": "<i8", "hashes": "<i8", "prints": "<u8", "sizes": "<i8", "times": "<i8", "words": "<u8", "begins": "<i4"}
 #: A suffix with a hot anchor: its document and text, its window's number, its start.
 _HOT = {"documents": "<i8", "hashes": "<i8", "prints": "<u8", "starts": "<i4"}
 
@@ -209,7 +211,7 @@ def _suffixes(documents: DataFrame, window: int, buckets: int, parts: int, hot:
                 if len(starts):
                     anchor, prints, *rest = slices_of(starts, of_window[starts], words, window)
                     n = len(anchor)
-                    cold.append((anchor, np.full(n, doc_id), np.full(n, text_hash), prints, *rest))
+                    cold.append((anchor, anchor, np.full(n, doc_id), np.full(n, text_hash), prints, *rest))
                 starts = np.flatnonzero(busy)
                 if len(starts):
                     n = len(starts)
@@ -268,14 +270,28 @@ def repeats_of_slices(held: dict[str, np.ndarray], window: int) -> pd.DataFrame:
     one = np.zeros(len(kinds), np.int64)
     one[at] = np.arange(len(at))
     sizes = held["sizes"][one]
-    tree = Subtree(held["words"][ragged(one, held["sizes"])], sizes, window)
-    depth = tree.repeats(smallest)
-    chosen = tree.maximal(depth)
+    # Equal windows have equal anchors, so the slices of some anchors make a subtree of their own.
+    by_anchor = np.argsort(held["anchors"][one], kind="stable")
+    anchors = held["anchors"][one][by_anchor]
+    heads = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1])[: len(anchors)])
+    before = np.cumsum(sizes[by_anchor]) - sizes[by_anchor]
+    _, cuts = np.unique(before[heads] // TREE_WORDS, return_index=True)
+    edges = np.append(heads[cuts], len(one))
+    kinds_of, places, depths = [], [], []
+    for a, b in zip(edges, edges[1:]):
+        some = by_anchor[a:b]
+        tree = Subtree(held["words"][ragged(one[some], held["sizes"])], sizes[some], window)
+        depth = tree.repeats(smallest[some])
+        chosen = tree.maximal(depth)
+        kinds_of.append(some[tree.slice[chosen]])
+        places.append(tree.place[chosen])
+        depths.append(depth[chosen])
+    found = np.concatenate(kinds_of)
     # Per kind of slice: the whole of it for later documents, its repeats for the smallest one.
-    kind = np.concatenate((tree.slice[chosen], np.arange(len(kinds))))
-    place = np.concatenate((tree.place[chosen], np.zeros(len(kinds), np.int64)))
-    length = np.concatenate((depth[chosen], sizes))
-    whole = np.concatenate((np.zeros(len(chosen), bool), np.ones(len(kinds), bool)))
+    kind = np.concatenate((found, np.arange(len(kinds))))
+    place = np.concatenate((*places, np.zeros(len(kinds), np.int64)))
+    length = np.concatenate((*depths, sizes))
+    whole = np.concatenate((np.zeros(len(found), bool), np.ones(len(kinds), bool)))
     order = np.argsort(kind, kind="stable")
     kind, place, length, whole = kind[order], place[order], length[order], whole[order]
     first, last = np.searchsorted(kind, at), np.searchsorted(kind, at, "right")
