@@ -117,6 +117,25 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
             _delete(spark, folder)
 
 
+@contextmanager
+def collected_scratch() -> Iterator[list[str]]:
+    """Name what is staged inside the block, for :func:`delete_scratch` once nothing reads it any more."""
+    folders: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), folders))
+    try:
+        yield folders
+    finally:
+        _SCOPES.reset(token)
+        if _SCOPES.get():
+            _SCOPES.get()[-1].extend(folders)
+
+
+def delete_scratch(spark: SparkSession, folders: list[str]) -> None:
+    """Delete staged folders."""
+    for folder in folders:
+        _delete(spark, folder)
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Delete everything this application has staged."""
     _delete(spark, f"{_shared_root(spark)}/ratingloom-{spark.sparkContext.applicationId}")
