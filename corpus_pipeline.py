@@ -1,19 +1,22 @@
 """A training corpus from the documents table, in five stages.
 
 Every stage takes the documents that the one before it kept; what it decides takes
-effect on them.  All but the last return the columns of ``documents``.
+effect on them.  All but the last return the columns of ``documents``.  A stage's
+result is to be written before the next stage is called on it, which deletes
+what the one before has staged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ratingloom.llm import mixing, ngram_join, packing, quality, repeats
 from ratingloom.llm.rows import table
-from ratingloom.session import stage
+from ratingloom.session import collected_scratch, delete_scratch, stage
 
 #: Near duplicates: words of a shingle, and the similarity in hundredths.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -58,12 +61,31 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return packing.pack(docs)
 
 
+_STAGED: list[str] = []
+
+
+def _step(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes what the stage before it has staged, unless ``docs`` still reads that."""
+
+    @wraps(function)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles()
+        unread = [f for f in _STAGED if not any(f"{f.split('://')[-1]}/" in name for name in read)]
+        delete_scratch(spark, unread)
+        with collected_scratch() as folders:
+            result = function(spark, docs, sf_dir)
+        _STAGED[:] = [f for f in _STAGED if f not in unread] + folders
+        return result
+
+    return run_step
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality classifier", keep_good),
-    ("n-gram Jaccard join", keep_one_of_a_kind),
-    ("substring dedup", cut_repeats),
-    ("mixing", mix_sources),
-    ("packing", pack_windows),
+    ("quality classifier", _step(keep_good)),
+    ("n-gram Jaccard join", _step(keep_one_of_a_kind)),
+    ("substring dedup", _step(cut_repeats)),
+    ("mixing", _step(mix_sources)),
+    ("packing", _step(pack_windows)),
 ]
 
 #: A trained classifier and a tokenizer cannot be expressed in SQL.
