@@ -36,7 +36,7 @@ from ratingloom.session import stage
 
 #: Shapes that are aligned at once, about.
 SHAPES = 512
-#: Nodes deeper than this are folded into their ancestor.
+#: Nodes deeper than this are folded into their ancestor, unless they turn article to something else or back.
 DEPTH = 40
 #: Pages that a host must have before a constant slot inside an article is taken for template.
 CONSTANT_PAGES = 5
@@ -104,7 +104,7 @@ def _label(tag: str, attributes: str) -> str:
         name = name.lower()
         value = next((v for v in values if v), "")
         if name in _TELLING:
-            told += [f"{name}={t}" for t in _DIGITS.sub("0", html.unescape(value).lower()).split()[:4]]
+            told += [f"{name}={t}" for t in _DIGITS.sub("0", html.unescape(value).lower()).split()]
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             told.append("hidden")
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -235,7 +235,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, bool, str]]]:
                         break
         parent = open_[-1][1]
         label = _label(tag, token[3] or token[6] or "")
-        if tag in _INLINE and label == tag or len(open_) > DEPTH:
+        if tag in _INLINE and label == tag or len(open_) > DEPTH and not _turns(label, parent.label):
             node = parent  # says nothing about the place
         else:
             node = next((c for c in parent.children if c.label == label), None)
@@ -350,6 +350,13 @@ def _rank(label: str) -> int:
     return int(any(t.split("=")[0] in ("class", "id") and _MAIN_WORDS.fullmatch(t.partition("=")[2]) is not None for t in told))
 
 
+def _turns(label: str, above: str) -> bool:
+    """Whether a node is kept however deep: nothing below an avoided place, else an avoided one or a surer article."""
+    if _avoided(above):
+        return False
+    return _avoided(label) or _rank(label) > _rank(above)
+
+
 def _wraps_article(node: Node) -> bool:
     """Whether a form is one that some servers put around the whole page."""
     below = list(node.children) if node.label.split(" ")[0] == "form" else []

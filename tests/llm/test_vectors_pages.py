@@ -226,3 +226,15 @@ def test_tree_matching():
     score, pairs = pages.match(one, two)
     assert score == 4 and {p.label for p, _ in pairs} == {"a", "b", "d", "f"}
     assert pages.read_shape(one.text()).text() == one.text()
+
+
+def test_adverts_by_any_class_word_and_at_any_depth(spark):
+    deep, out = "<section>" * 60, "</section>" * 60
+    rows = []
+    for k in range(6):
+        rows.append((k, f"http://a.example/{k}", f"<article><p>Text {k}</p><div class='a b c d e advert'>Buy {k}</div><p>more {k}</p></article>"))
+        rows.append((10 + k, f"http://b.example/{k}", f"<article><p>Text {k}</p>{deep}<p>low {k}</p><aside>Side {k}<article>x</article></aside>{out}</article>"))
+        rows.append((20 + k, f"http://c.example/{k}", f"<body>{deep}<p>Menu {k}</p><article><p>Text {k}</p></article>{out}</body>"))
+    found = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(6):
+        assert [found[k], found[10 + k], found[20 + k]] == [f"Text {k} more {k}", f"Text {k} low {k}", f"Text {k}"]
