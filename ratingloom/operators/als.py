@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratingloom.functions.numeric import clamp_unit, implicit_confidence, implicit_truth
+from ratingloom.operators.bounded import best_by_bound
 from ratingloom.operators.evaluate import rmse
-from ratingloom.operators.grid import best_unrated
 from ratingloom.operators.rank import TOP
 from ratingloom.operators.sampling import SEED, split_ratings
 from ratingloom.session import ensure_checkpoint_dir, stage
@@ -52,7 +52,15 @@ def predict(model: ALSModel, pairs: DataFrame) -> DataFrame:
 
 
 def recommend(model: ALSModel, cells: DataFrame, n: int = TOP) -> DataFrame:
-    """The ``n`` best unknown items of every user: ``user, rank, item, score``."""
+    """The ``n`` best unknown items of every user: ``user, rank, item, score``.
+
+    Blocks of items that cannot reach a user's list are not multiplied.
+    """
+    return best_by_bound(*sides(model, cells), n)
+
+
+def sides(model: ALSModel, cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Users, items and known pairs as the list operators take them."""
     doubles = F.transform("features", lambda x: x.cast("double"))
     users = model.userFactors.select(
         F.col("id").cast("long").alias("user"),
@@ -60,8 +68,7 @@ def recommend(model: ALSModel, cells: DataFrame, n: int = TOP) -> DataFrame:
         F.lit(1.0).alias("below"), F.lit(None).cast("array<double>").alias("below_f"),
     )
     items = model.itemFactors.select(F.col("id").cast("long").alias("item"), doubles.alias("f"))
-    known = cells.select("user", "item")
-    return best_unrated(users, items, known, n)
+    return users, items, cells.select("user", "item")
 
 
 def evaluate(model: ALSModel, test: DataFrame, implicit: bool = False) -> DataFrame:

@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratingloom.functions.basket import require_unique, unique_items
+from ratingloom.operators.fpgrowth import GROUP_CELLS, weighted_fp
 from ratingloom.operators.gram import pair_products, symmetric
 from ratingloom.operators.index import dense_index
+from ratingloom.operators.vertical import count_sets, item_bitmaps
 from ratingloom.session import stage
 
 
@@ -56,14 +58,16 @@ def frequent_pairs(cells: DataFrame, min_count: int, strict: bool = True, **kern
 
 
 def frequent_levels(
-    cells: DataFrame, min_count: int, max_size: int | None = None, **kernel
+    cells: DataFrame, min_count: int, max_size: int | None = None, vertical: bool = True, **kernel
 ) -> Iterator[DataFrame]:
     """Yield the frequent itemsets of size 1, 2, ... until a level is empty.
 
     Each level is staged, so the next one starts from a table and not from the
-    whole history.  Sizes above two only ever extend sets that are known to be
-    in a basket by an item that completes a candidate: no basket is expanded
-    into its combinations, and the join key is the itemset, not the basket.
+    whole history.  Sizes above two are counted on bitmaps of baskets (``vertical.py``).
+    Weighted baskets, which a bitmap cannot count, and all others without ``vertical``,
+    extend sets that are known to be in a basket by an item that completes a
+    candidate: no basket is expanded into its combinations, and the join key is
+    the itemset, not the basket.
     """
     singles, kept = _frequent_cells(cells, min_count, strict=False)
     if singles.isEmpty():
@@ -75,7 +79,8 @@ def frequent_levels(
     pairs = level.select(
         F.slice("items", 1, 1).alias("prefix"), F.element_at("items", 2).alias("item"), "items"
     )
-    found = None
+    found, bitmaps = None, None
+    vertical = vertical and "weight" not in cells.columns
     size = 2
     while not level.isEmpty():
         yield level
@@ -85,6 +90,14 @@ def frequent_levels(
         candidates = stage(_candidates(level, size), f"candidates{size}")
         if candidates.isEmpty():
             return
+        if vertical:
+            if bitmaps is None:
+                bitmaps = stage(item_bitmaps(kept), "bitmaps")
+            counts = count_sets(bitmaps, candidates, size).filter(F.col("freq") >= min_count)
+            kind = level.schema["items"].dataType
+            counts = counts.select(F.col("items").cast(kind).alias("items"), F.lit(size).cast("long").alias("size"), "freq")
+            level = stage(counts, f"level{size}")
+            continue
         # Only sets that some candidate extends have to be known where they occur.
         extended = candidates.select(F.col("prefix").alias("items")).distinct()
         if found is None:
@@ -115,10 +128,10 @@ def apriori(cells: DataFrame, min_count: int, max_iterations: int, **kernel) ->
     return frequent_levels(cells, min_count, max_iterations - 1, **kernel)
 
 
-def weighted_itemsets(baskets: DataFrame, min_support: float = 0.3, **kernel) -> DataFrame:
+def weighted_itemsets(baskets: DataFrame, min_support: float = 0.3, group_cells: int = GROUP_CELLS) -> DataFrame:
     """Itemsets with relative support, mined over collapsed baskets.
 
-    Identical baskets are counted once with a weight before anything is joined.
+    Identical baskets are counted once with a weight before anything is mined.
     The threshold is ``floor(baskets * min_support)``, at least 1.  Items may be
     of any sortable type; they are numbered by support for the mining.
     """
@@ -128,12 +141,13 @@ def weighted_itemsets(baskets: DataFrame, min_support: float = 0.3, **kernel) ->
         "collapsed",
     )
     lines = collapsed.agg(F.sum("weight").alias("n")).first()["n"] or 0
+    least = max(1, int(lines * min_support))
     raw = basket_cells(collapsed)
-    ranks = stage(support_rank(item_frequency(raw)), "ranks")
-    cells = raw.join(ranks.select("item", "rank"), "item").select(
-        "basket", "weight", F.col("rank").alias("item")
+    ranks = stage(support_rank(item_frequency(raw).filter(F.col("freq") >= least)), "ranks")
+    numbered = raw.join(ranks.select("item", "rank"), "item").groupBy("basket").agg(
+        F.array_sort(F.collect_list("rank")).alias("items"), F.first("weight").alias("weight")
     )
-    mined = frequent_itemsets(stage(cells, "cells"), max(1, int(lines * min_support)), **kernel)
+    mined = weighted_fp(numbered, least, group_cells)
     names = ranks.select(F.col("rank").alias("id"), F.col("item").alias("name"))
     return (
         mined.select("items", "size", "freq", F.explode("items").alias("id"))

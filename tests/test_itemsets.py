@@ -1,10 +1,12 @@
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ratingloom.operators import itemsets as sets
+from ratingloom.operators import fpgrowth, vertical
 from ratingloom.operators.fpgrowth import fp_itemsets
 from ratingloom.sources import tables
 from tests.conftest import BASKETS
@@ -118,3 +120,67 @@ def brute_pairs(rows):
         for pair in itertools.combinations(sorted(set(basket)), 2):
             seen[pair] = seen.get(pair, 0) + 1
     return seen
+
+
+def by_levels(spark, rows, least):
+    """Level-wise mining of weighted baskets, items being their own numbers."""
+    cells = spark.createDataFrame([(b, w, i) for b, (items, w) in enumerate(rows) for i in items], "basket long, weight long, item long")
+    return {tuple(r["items"]): r.freq for r in sets.frequent_itemsets(cells, least).collect()}
+
+
+def test_weighted_growth_agrees_with_levels(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(120):
+        items = np.flatnonzero(rng.random(14) < np.linspace(0.7, 0.05, 14)).tolist()
+        rows.append((items, int(rng.integers(1, 9))))
+    baskets = spark.createDataFrame(rows, "items array<long>, weight long").cache()
+    for least, sizes in ((60, (500_000, 20)), (12, (200,))):
+        wanted = by_levels(spark, rows, least)
+        # Groups of any size, and ones that Spark has to split again and again.
+        for cells in sizes:
+            found = fpgrowth.weighted_fp(baskets, least, cells).collect()
+            assert len(found) == len(wanted) and {tuple(r["items"]): r.freq for r in found} == wanted
+            assert all(r["size"] == len(r["items"]) for r in found)
+
+
+def test_one_very_long_basket_ends(spark):
+    rng = np.random.default_rng(12)
+    rows = [(list(range(5000)), 1)] + [(sorted(rng.choice(5000, 3, replace=False).tolist()), 2) for _ in range(300)]
+    found = fpgrowth.weighted_fp(spark.createDataFrame(rows, "items array<long>, weight long"), 3, 20_000)
+    wanted = {}
+    for items, weight in rows[1:]:
+        for mask in range(1, 8):
+            part = tuple(x for k, x in enumerate(items) if mask >> k & 1)
+            wanted[part] = wanted.get(part, 1) + weight  # the long basket has every set once
+    assert {tuple(r["items"]): r.freq for r in found.collect()} == {k: v for k, v in wanted.items() if v >= 3}
+
+
+def test_weighted_growth_of_nothing(spark):
+    none = spark.createDataFrame([([], 3)], "items array<long>, weight long")
+    assert fpgrowth.weighted_fp(none, 1).isEmpty() and fpgrowth.weighted_fp(none.limit(0), 1).isEmpty()
+    assert sets.weighted_itemsets(spark.createDataFrame([], "items array<string>")).isEmpty()
+
+
+def test_bitmaps_count_as_occurrences_do(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    held = rng.random((260, 10)) < np.linspace(0.8, 0.05, 10)
+    rows = [(int(b) * 10**9, int(i)) for b, i in zip(*np.nonzero(held))]
+    cells = spark.createDataFrame(rows, "basket long, item long").cache()
+    wanted = {tuple(r["items"]): r.freq for r in sets.frequent_itemsets(cells, 30, vertical=False).collect()}
+    assert max(map(len, wanted)) >= 4
+    # In ranges of 64 baskets, and candidates in parts.
+    monkeypatch.setattr(vertical.item_bitmaps, "__defaults__", (64, 500))
+    monkeypatch.setattr(vertical.count_sets, "__defaults__", (20,))
+    assert {tuple(r["items"]): r.freq for r in sets.frequent_itemsets(cells, 30).collect()} == wanted
+
+
+def test_bitmaps_of_few_and_many_baskets():
+    rng = np.random.default_rng(14)
+    for baskets in (1, 63, 64, 1000):
+        for share in (0.001, 0.05, 0.06, 0.07, 1.0):
+            places = np.flatnonzero(rng.random(baskets) < share)
+            words = vertical.bitmap(vertical.packed(places, baskets), baskets)
+            assert len(words) == -(-baskets // 64) and np.bitwise_count(words).sum() == len(places)
+            bits = np.unpackbits(words.view(np.uint8))
+            assert np.flatnonzero(bits).tolist() == places.tolist()
