@@ -29,12 +29,13 @@ from pyspark.sql import functions as F
 from ratingloom.functions.numeric import dot, hash_percent, scale_by
 from ratingloom.operators.cells import item_means, user_means
 from ratingloom.operators.gram import pair_products, squared_norms, symmetric
+from ratingloom.operators.lanczos import Matrix, leading
 from ratingloom.operators.normalise import item_deviations
 from ratingloom.session import stage
 
 DIRECT_ITEMS = 1024
 OVERSAMPLE = 8
-#: Columns of the basis after which the iteration starts again from its best vectors.
+#: Columns of the basis after which the iteration starts again from its best vectors; three blocks at least.
 BASIS = 400
 #: Starts after which an iteration that does not converge is given up with an error.
 STARTS = 40
@@ -66,6 +67,25 @@ def decompose(cells: DataFrame, k: int, direct_items: int = DIRECT_ITEMS, **kern
     return Factors(_divided(projected, values), items, values)
 
 
+def bidiagonalised(cells: DataFrame, k: int, least: float = 1e-11) -> Factors:
+    """Rank-``k`` factors of the matrix of ratings by bidiagonalisation of the ratings themselves.
+
+    For small singular values, which a squared matrix loses: values down to ``least`` times
+    the leading one are exact to rounding relative to that.  The users' vectors
+    come from the iteration too.  A step costs more than one of :func:`decompose`.
+    """
+    people = stage(cells.select("user", F.lit(0.0).alias("m")).distinct(), "users")
+    things = stage(cells.select("item", F.lit(0.0).alias("m")).distinct(), "items")
+    return Factors(*leading(Matrix(cells, people, things), k, least))
+
+
+def bidiagonalised_normalised(cells: DataFrame, k: int, least: float = 1e-11) -> Factors:
+    """The same of the mean-normalised matrix, which is never written out."""
+    people = stage(user_means(cells).select("user", F.col("user_mean").alias("m")), "user_means")
+    things = stage(item_means(cells).select("item", F.col("item_mean").alias("m")), "item_means")
+    return Factors(*leading(Matrix(stage(item_deviations(cells), "deviations"), people, things, shifted=True), k, least))
+
+
 def decompose_normalised(cells: DataFrame, k: int, direct_items: int = DIRECT_ITEMS, **kernel) -> Factors:
     """Rank-``k`` factors of the mean-normalised matrix, from its sparse part."""
     means = stage(user_means(cells), "user_means")
@@ -235,7 +255,7 @@ def _krylov(cells, ids, basis, mixing, k, n):
             roots, turn = np.linalg.eigh((left + left.T) / 2)
             # Directions that have converged leave the block.
             live = roots > (TOLERANCE * scale) ** 2
-            if done or not live.any() or width + live.sum() > min(BASIS, n):
+            if done or not live.any() or width + live.sum() > min(max(BASIS, 3 * p), n):
                 break
             added = int(live.sum())
             last = _times(fresh, turn[:, live] / np.sqrt(roots[live]))

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratingloom.functions.numeric import dot, ratio, scale_by
+from ratingloom.operators.bounded import best_by_bound
 from ratingloom.operators.cells import matrix_width, user_means
 from ratingloom.operators.evaluate import rmse
-from ratingloom.operators.grid import best_unrated
+from ratingloom.operators.lanczos import cross
 from ratingloom.operators.rank import TOP
 from ratingloom.operators.svd import Factors, item_features, reconstruct, unit_features
 from ratingloom.session import stage
@@ -43,7 +44,7 @@ def recommend_by_features(cells: DataFrame, factors: Factors, n: int = TOP) -> D
     """The ``n`` best unrated items of every user: ``user, rank, item, score``."""
     unit = unit_features(item_features(factors))
     profiles = stage(_profiles(cells, unit, len(factors.values)), "profiles")
-    return best_unrated(profiles, unit.select("item", "f"), cells.select("user", "item"), n)
+    return best_by_bound(profiles, unit.select("item", "f"), cells.select("user", "item"), n)
 
 
 def evaluate_by_features(cells: DataFrame, test: DataFrame, factors: Factors) -> DataFrame:
@@ -70,13 +71,13 @@ def predict_normalised(pairs: DataFrame, cells: DataFrame, factors: Factors) ->
     sums = both.agg(
         *[F.sum(F.col("v")[a]).alias(f"v{a}") for a in range(k)],
         *[F.sum(F.col("f")[a]).alias(f"t{a}") for a in range(k)],
-        *[F.sum(F.col("v")[a] * F.col("f")[b]).alias(f"g{a}_{b}") for a in range(k) for b in range(k)],
-        ).first()
+    ).first()
+    mixed_by = cross(both.select(F.col("v").alias("f"), F.col("f").alias("g")), k, k)
     width = matrix_width(cells).first()["width"]
     totals = [sums[f"t{a}"] for a in range(k)]
 
     def weighted(a: int):
-        mixed = dot(F.array(*[F.lit(sums[f"g{a}_{b}"]) for b in range(k)]), F.col("f"))
+        mixed = dot(F.array(*[F.lit(float(x)) for x in mixed_by[a]]), F.col("f"))
         return F.lit(0.5 * sums[f"v{a}"]) + F.lit(0.5) * (mixed - F.col("z") * F.col("v")[a])
 
     overall = dot(F.array(*[F.lit(t) for t in totals]), F.col("f"))

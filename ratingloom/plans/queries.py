@@ -452,6 +452,14 @@ def svd_energy(spark: SparkSession, sf: str) -> DataFrame:
     return values.agg(F.round(F.sum(F.col("s") * F.col("s")) + 1e-6, 3).alias("energy"))
 
 
+@query
+def svd_bidiagonal_energy(spark: SparkSession, sf: str) -> DataFrame:
+    """The squared singular values add up to the squared ratings."""
+    rated = _brand(spark, sf)
+    values = svd.bidiagonalised(rated, rated.select("item").distinct().count()).singular_values()
+    return values.agg(F.round(F.sum(F.col("s") * F.col("s")) + 1e-6, 3).alias("energy"))
+
+
 @query
 def svd_normalised_energy(spark: SparkSession, sf: str) -> DataFrame:
     """The same for the mean-normalised matrix, missing cells included."""
