@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratingloom.functions.numeric import clamp_unit, implicit_confidence, implicit_truth
-from ratingloom.operators.bounded import best_by_bound
+from ratingloom.operators.bounded import best_items
 from ratingloom.operators.evaluate import rmse
 from ratingloom.operators.rank import TOP
 from ratingloom.operators.sampling import SEED, split_ratings
@@ -56,7 +56,7 @@ def recommend(model: ALSModel, cells: DataFrame, n: int = TOP) -> DataFrame:
 
     Blocks of items that cannot reach a user's list are not multiplied.
     """
-    return best_by_bound(*sides(model, cells), n)
+    return best_items(*sides(model, cells), n)
 
 
 def sides(model: ALSModel, cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -58,16 +58,16 @@ def frequent_pairs(cells: DataFrame, min_count: int, strict: bool = True, **kern
 
 
 def frequent_levels(
-    cells: DataFrame, min_count: int, max_size: int | None = None, vertical: bool = True, **kernel
+    cells: DataFrame, min_count: int, max_size: int | None = None, vertical: bool = False, **kernel
 ) -> Iterator[DataFrame]:
     """Yield the frequent itemsets of size 1, 2, ... until a level is empty.
 
     Each level is staged, so the next one starts from a table and not from the
-    whole history.  Sizes above two are counted on bitmaps of baskets (``vertical.py``).
-    Weighted baskets, which a bitmap cannot count, and all others without ``vertical``,
-    extend sets that are known to be in a basket by an item that completes a
-    candidate: no basket is expanded into its combinations, and the join key is
-    the itemset, not the basket.
+    whole history.  Sizes above two only ever extend sets that are known to be
+    in a basket by an item that completes a candidate: no basket is expanded
+    into its combinations, and the join key is the itemset, not the basket.  With
+    ``vertical`` they are counted on bitmaps of baskets instead (``vertical.py``), which
+    writes no occurrences; a bitmap cannot count weighted baskets.
     """
     singles, kept = _frequent_cells(cells, min_count, strict=False)
     if singles.isEmpty():

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratingloom.functions.numeric import dot, ratio, scale_by
-from ratingloom.operators.bounded import best_by_bound
+from ratingloom.operators.bounded import best_items
 from ratingloom.operators.cells import matrix_width, user_means
 from ratingloom.operators.evaluate import rmse
 from ratingloom.operators.lanczos import cross
@@ -44,7 +44,7 @@ def recommend_by_features(cells: DataFrame, factors: Factors, n: int = TOP) -> D
     """The ``n`` best unrated items of every user: ``user, rank, item, score``."""
     unit = unit_features(item_features(factors))
     profiles = stage(_profiles(cells, unit, len(factors.values)), "profiles")
-    return best_by_bound(profiles, unit.select("item", "f"), cells.select("user", "item"), n)
+    return best_items(profiles, unit.select("item", "f"), cells.select("user", "item"), n)
 
 
 def evaluate_by_features(cells: DataFrame, test: DataFrame, factors: Factors) -> DataFrame:

@@ -370,6 +370,7 @@ things AS (SELECT CAST(unnest(generate_series(0, max(item) + 2)) AS INT) AS col
 SELECT row, col, coalesce(rating, 0.0::DOUBLE) AS value
 FROM people CROSS JOIN things LEFT JOIN cells ON "user" = row AND item = col"""
     sql["svd_bidiagonal_energy"] = sql["svd_energy"]
+    sql["apriori_level3_bitmaps"] = sql["apriori_level3"]
     for name in ("itemcf_recommend", "usercf_predict", "usercf_recommend"):
         sql[f"{name}_blocks"] = sql[name]
     return sql

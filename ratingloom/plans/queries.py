@@ -100,8 +100,8 @@ def apriori_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return _sets(itemsets.frequent_pairs(_basket_cells(spark, sf), _count(spark, sf, PAIR_SUPPORT)))
 
 
-def _level(spark: SparkSession, sf: str, size: int) -> DataFrame:
-    levels = itemsets.apriori(_basket_cells(spark, sf), _count(spark, sf, TRIPLE_SUPPORT), size + 1)
+def _level(spark: SparkSession, sf: str, size: int, **how) -> DataFrame:
+    levels = itemsets.apriori(_basket_cells(spark, sf), _count(spark, sf, TRIPLE_SUPPORT), size + 1, **how)
     found = list(levels)
     # Levels end with the last that has a set.
     return _sets(found[size - 1] if size <= len(found) else found[-1].filter("false"))
@@ -122,6 +122,12 @@ def apriori_level3(spark: SparkSession, sf: str) -> DataFrame:
     return _level(spark, sf, 3)
 
 
+@query
+def apriori_level3_bitmaps(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, counted on bitmaps of baskets."""
+    return _level(spark, sf, 3, vertical=True)
+
+
 @query
 def fp_itemsets_all(spark: SparkSession, sf: str) -> DataFrame:
     return _sets(fp_itemsets(tables.baskets_brand(spark, sf), TRIPLE_SUPPORT))

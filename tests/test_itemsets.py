@@ -167,12 +167,12 @@ def test_bitmaps_count_as_occurrences_do(spark, monkeypatch):
     held = rng.random((260, 10)) < np.linspace(0.8, 0.05, 10)
     rows = [(int(b) * 10**9, int(i)) for b, i in zip(*np.nonzero(held))]
     cells = spark.createDataFrame(rows, "basket long, item long").cache()
-    wanted = {tuple(r["items"]): r.freq for r in sets.frequent_itemsets(cells, 30, vertical=False).collect()}
+    wanted = {tuple(r["items"]): r.freq for r in sets.frequent_itemsets(cells, 30).collect()}
     assert max(map(len, wanted)) >= 4
     # In ranges of 64 baskets, and candidates in parts.
     monkeypatch.setattr(vertical.item_bitmaps, "__defaults__", (64, 500))
     monkeypatch.setattr(vertical.count_sets, "__defaults__", (20,))
-    assert {tuple(r["items"]): r.freq for r in sets.frequent_itemsets(cells, 30).collect()} == wanted
+    assert {tuple(r["items"]): r.freq for r in sets.frequent_itemsets(cells, 30, vertical=True).collect()} == wanted
 
 
 def test_bitmaps_of_few_and_many_baskets():
