@@ -1,5 +1,8 @@
 """Models on random and skewed data against direct evaluation."""
 
+import itertools
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -210,3 +213,22 @@ def test_svd_without_arrow(spark, matrix, cells):
     finally:
         spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     assert [r["s"] for r in values] == pytest.approx(np.linalg.svd(matrix)[1][:3])
+
+
+@pytest.mark.parametrize("offset", [0, 2**40])
+def test_pairs_of_many_columns_are_added_up_where_they_are_made(spark, offset):
+    rng = np.random.default_rng(3)
+    kinds = [None, 0.0, -1.5, 2.0]
+    rows = [(u, offset + int(i), kinds[(u + i) % 4], 1.0 + u) for u in range(300) for i in rng.choice(2000, 12, replace=False)]
+    df = spark.createDataFrame([*rows, (None, offset, 1.0, 1.0), (1, None, 1.0, 1.0)], "user long, item long, rating double, w double")
+    for weight in (None, "w"):
+        pairs = gram.pair_products(df, "user", "item", "rating", weight=weight)
+        assert "keys=[i#" not in pairs._jdf.queryExecution().executedPlan().toString()  # no pair is shuffled
+        found = pairs.collect()
+        expected = {}
+        for _, group in itertools.groupby(rows, key=lambda r: r[0]):
+            for (_, i, a, w), (_, j, b, _) in itertools.combinations(sorted(group, key=lambda r: r[1]), 2):
+                known = [] if a is None or b is None else [a * b * (w if weight else 1.0)]
+                expected.setdefault((i, j), []).extend(known)
+        assert len(found) == len(expected)
+        assert {(r.i, r.j): r.dot for r in found} == pytest.approx({k: math.fsum(v) if v else None for k, v in expected.items()})
