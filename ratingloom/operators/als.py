@@ -11,7 +11,7 @@ from ratingloom.operators.bounded import best_items
 from ratingloom.operators.evaluate import rmse
 from ratingloom.operators.rank import TOP
 from ratingloom.operators.sampling import SEED, split_ratings
-from ratingloom.session import ensure_checkpoint_dir, stage
+from ratingloom.session import ensure_checkpoint_dir, scratch_path, stage
 
 
 def as_confidence(cells: DataFrame) -> DataFrame:
@@ -33,8 +33,46 @@ def train(
 
     ``cells`` must hold each (user, item) once and ids in Int range, so no user or
     item has more ratings than there are items or users.
+
+    A user or item without a positive confidence has the zero vector as its implicit
+    factor, exactly: nothing pulls it away.  Spark does not regularise such rows, and their
+    systems can be singular; so they take no part, and their zero vectors join the model.
     """
     ensure_checkpoint_dir(cells.sparkSession)
+    if implicit:
+        unliked = {side: stage(_without_positive(cells, side), f"als-unliked-{side}") for side in ("user", "item")}
+        liked = cells
+        for side, ids in unliked.items():
+            if not ids.isEmpty():
+                liked = liked.join(ids, side, "left_anti")
+        if liked is not cells and not (liked := stage(liked, "als-liked")).isEmpty():
+            model = _fit(liked, rank, iterations, reg, True, user_blocks, item_blocks, seed)
+            return _with_zeros(model, unliked)
+    return _fit(cells, rank, iterations, reg, implicit, user_blocks, item_blocks, seed)
+
+
+def _without_positive(cells: DataFrame, side: str) -> DataFrame:
+    """The ids of one side, as the model has them, all of whose confidences are zero or below."""
+    return cells.groupBy(F.col(side)).agg(F.max("rating").alias("most")).filter("most <= 0").select(side)
+
+
+def _with_zeros(model: ALSModel, ids: dict[str, DataFrame]) -> ALSModel:
+    """The model with zero vectors for more users and items, by way of its stored form."""
+    spark = model.userFactors.sparkSession
+    path = scratch_path(spark, "als-model")
+    model.save(path)
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), model.rank).alias("features")
+    for side, new in ids.items():
+        new.filter(F.col(side).isNotNull()).select(F.col(side).cast("int").alias("id"), zeros).write.mode("append").parquet(
+            f"{path}/{side}Factors"
+        )
+    return ALSModel.load(path)
+
+
+def _fit(
+    cells: DataFrame, rank: int, iterations: int, reg: float, implicit: bool,
+    user_blocks: int | None, item_blocks: int | None, seed: int,
+) -> ALSModel:
     auto = max(10, cells.sparkSession.sparkContext.defaultParallelism)
     return ALS(
         userCol="user", itemCol="item", ratingCol="rating",

@@ -232,3 +232,19 @@ def test_pairs_of_many_columns_are_added_up_where_they_are_made(spark, offset):
                 expected.setdefault((i, j), []).extend(known)
         assert len(found) == len(expected)
         assert {(r.i, r.j): r.dot for r in found} == pytest.approx({k: math.fsum(v) if v else None for k, v in expected.items()})
+
+
+def test_implicit_als_with_users_and_items_without_a_positive(spark):
+    """Forty users that reject everything: their systems are singular, their factors zero."""
+    likes = [(u, i, 1.0 + (u * i) % 3) for u in range(30) for i in range(12) if (u + i) % 4]
+    rejects = [(u, i, -2.0) for u in range(30, 70) for i in range(u % 3, 13, 3)] + [(u, 12, -1.0) for u in range(5)]
+    df = spark.createDataFrame([*likes, *rejects], "user long, item long, rating double")
+    model = als.train(df, rank=10, iterations=8, implicit=True)
+    plain = als.train(spark.createDataFrame(likes, df.schema), rank=10, iterations=8, implicit=True)
+    kept = {r.id: list(r.features) for r in model.userFactors.collect()}
+    assert len(kept) == 70 and all(not any(kept[u]) for u in range(30, 70))
+    assert all(kept[r.id] == pytest.approx(list(r.features), abs=1e-4) for r in plain.userFactors.collect())
+    assert not any({r.id: list(r.features) for r in model.itemFactors.collect()}[12])
+    scores = als.predict(model, df)
+    assert scores.count() == df.count() and scores.filter("user >= 30 and score <> 0").count() == 0
+    assert len(lists(als.recommend(model, df, 3))) == 70
