@@ -248,3 +248,20 @@ def test_implicit_als_with_users_and_items_without_a_positive(spark):
     scores = als.predict(model, df)
     assert scores.count() == df.count() and scores.filter("user >= 30 and score <> 0").count() == 0
     assert len(lists(als.recommend(model, df, 3))) == 70
+
+
+@pytest.mark.parametrize("size", [60, 10**6])
+def test_user_predictions_by_lists(spark, monkeypatch, size):
+    """Lists sent to blocks of users give what the join gives; busy users, long lists and null ratings included."""
+    rng = np.random.default_rng(5)
+    rows = [(u, i, None if (u + i) % 11 == 0 else float(rng.integers(1, 6))) for u in range(40) for i in range(25) if rng.random() < 0.2]
+    rows += [(40, i, 2.0) for i in range(25)] + [(u, 25, 3.0) for u in range(40)] + [(41, 26, 4.0), (None, 3, 4.0), rows[0]]
+    df = spark.createDataFrame(rows, "user long, item long, rating double")
+    table = similarity.user_cosine(df.dropna().dropDuplicates(["user", "item"]))
+    wanted = df.select("user", "item").distinct()
+    expected = scores(usercf._predict_by_join(wanted, df, table))
+    monkeypatch.setattr(usercf, "MET_PER_BLOCK", size)
+    monkeypatch.setattr(usercf, "LIST", 7)
+    found = usercf._predict_by_lists(wanted, df, table, 10 * size)
+    assert found.count() == len(expected)
+    assert scores(found) == pytest.approx(expected)
