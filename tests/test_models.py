@@ -265,3 +265,19 @@ def test_user_predictions_by_lists(spark, monkeypatch, size):
     found = usercf._predict_by_lists(wanted, df, table, 10 * size)
     assert found.count() == len(expected)
     assert scores(found) == pytest.approx(expected)
+
+
+def test_pairs_of_long_rows_alike_are_not_shuffled(spark):
+    rng = np.random.default_rng(4)
+    matrix = rng.integers(1, 6, (5, 90)).astype(float)
+    matrix[2, :3] = 0
+    r, c = np.nonzero(matrix)
+    df = spark.createDataFrame(list(zip(r.tolist(), c.tolist(), matrix[r, c].tolist())), "user long, item long, rating double")
+    kernel = {"long_row": 30, "block_cols": 20}
+    pairs = gram.pair_products(df, "user", "item", "rating", **kernel)
+    assert "keys=[i#" not in pairs._jdf.queryExecution().executedPlan().toString()
+    found, whole = pairs.collect(), matrix.T @ matrix
+    assert len(found) == 90 * 89 // 2 and all(x.i < x.j and x.dot == pytest.approx(whole[x.i, x.j]) for x in found)
+    mixed = df.union(spark.createDataFrame([(9, 1, 2.0), (9, 3, 2.0)], df.schema))
+    found = {(x.i, x.j): x.dot for x in gram.pair_products(mixed, "user", "item", "rating", **kernel).collect()}
+    assert len(found) == 90 * 89 // 2 and found[1, 3] == pytest.approx(whole[1, 3] + 4)
