@@ -281,3 +281,18 @@ def test_pairs_of_long_rows_alike_are_not_shuffled(spark):
     mixed = df.union(spark.createDataFrame([(9, 1, 2.0), (9, 3, 2.0)], df.schema))
     found = {(x.i, x.j): x.dot for x in gram.pair_products(mixed, "user", "item", "rating", **kernel).collect()}
     assert len(found) == 90 * 89 // 2 and found[1, 3] == pytest.approx(whole[1, 3] + 4)
+
+
+def test_blocks_get_lists_of_cells(spark, cells):
+    """What is copied to every opposite block are lists; scores are those of single cells, nulls left out alike."""
+    table = similarity.user_cosine(cells)
+    left, right = usercf._product_sides(cells, table)
+    offsets = cells.groupBy("user").agg(F.sum("rating").alias("above"), F.lit(2.0).alias("below"))
+    shape = product.measure(left, right, join_limit=0, keys_per_block=8)
+    assert shape.users.total > 1 and shape.items.total > 1
+    for own in (None, offsets):
+        known = cells.select("user", "item")
+        found = product.wanted_by_blocks(left, right, own, known, shape)
+        assert "collect_list" in found._jdf.queryExecution().executedPlan().toString()
+        flat = product._met(*product._squares(left, right, own, known, shape), "_parts = 1", product._wanted_of_block, product._SCORES)
+        assert scores(found) == pytest.approx(scores(flat))
