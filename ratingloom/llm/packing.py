@@ -17,6 +17,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from ratingloom.llm.rows import tidied
-from ratingloom.llm.tokens import encoder
+from ratingloom.llm.rows import given_back, tidied
+from ratingloom.llm.tokens import encoder, forget
 from ratingloom.operators.index import dense_index
 from ratingloom.session import stage
 
 #: Terms of a document that say where it is dealt.
 HEAVY_TERMS = 6
+#: Share of a shard's documents from which on a term's weights are kept for all of them.
+OFTEN = 0.25
 _TOKENS = "row long, doc_id long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long"
 
@@ -50,17 +53,34 @@ class Corpus:
         held = self.held[terms]
         return np.log1p((self.documents - held + 0.5) / (held + 0.5))
 
+    @cached_property
+    def every_idf(self) -> np.ndarray:
+        """The idf of every term id."""
+        return self.idf(np.arange(len(self.held)))
+
 
 def heavy_terms(ids: np.ndarray, corpus: Corpus, least: int, k1: float = 1.2, b: float = 0.75) -> list[int]:
     """A document's terms of most BM25 weight, heaviest first, of those in at least ``least`` documents."""
-    terms, counts = np.unique(ids, return_counts=True)
+    terms, counts = _distinct(np.sort(ids))
     shared = corpus.held[terms] >= least
     terms, counts = terms[shared], counts[shared]
     norm = k1 * (1 - b + b * len(ids) / max(corpus.mean, 1))
-    weight = corpus.idf(terms) * counts * (k1 + 1) / (counts + norm)
+    weight = corpus.every_idf[terms] * counts * (k1 + 1) / (counts + norm)
+    if len(weight) > HEAVY_TERMS:
+        # Only what reaches the last place is sorted.
+        some = np.flatnonzero(weight >= np.partition(weight, -HEAVY_TERMS)[-HEAVY_TERMS])
+        terms, weight = terms[some], weight[some]
     return terms[np.argsort(-weight, kind="stable")[:HEAVY_TERMS]].tolist()
 
 
+def _distinct(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a sorted array, and how often each stands there."""
+    edge = np.ones(len(ordered) + 1, bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=edge[1 : len(ordered)])
+    at = np.flatnonzero(edge)
+    return ordered[at[:-1]], at[1:] - at[:-1]
+
+
 class Index:
     """BM25 over a shard's documents, each an array of token ids; without ``corpus`` the shard is the corpus."""
 
@@ -68,28 +88,39 @@ class Index:
         n = len(documents)
         lengths = np.array([len(d) for d in documents], float)
         owners = np.repeat(np.arange(n), lengths.astype(int))
-        every = np.concatenate(documents) if n else np.zeros(0, np.int64)
-        self._terms, ranks = np.unique(every, return_inverse=True)
-        pairs, counts = np.unique(ranks * n + owners, return_counts=True)
+        keys = np.concatenate(documents).astype(np.int64) * n + owners if n else np.zeros(0, np.int64)
+        keys.sort()
+        pairs, counts = _distinct(keys)
         self._owner = pairs % max(n, 1)
-        self._from = np.searchsorted(pairs // max(n, 1), np.arange(len(self._terms) + 1))
-        held = np.diff(self._from)
+        self._terms, held = _distinct(pairs // max(n, 1))
+        self._from = np.append(0, np.cumsum(held))
         idf = corpus.idf(self._terms) if corpus else np.log1p((n - held + 0.5) / (held + 0.5))
         mean = corpus.mean if corpus else lengths.mean() if n else 0
         norm = k1 * (1 - b + b * lengths / max(mean, 1))
         self._weight = np.repeat(idf, held) * counts * (k1 + 1) / (counts + norm[self._owner])
-        order = np.argsort(self._owner, kind="stable")
+        # Short numbers have a faster stable sort.
+        order = np.argsort(self._owner.astype(np.uint16) if n <= 1 << 16 else self._owner, kind="stable")
         self._term_of = np.repeat(np.arange(len(self._terms)), held)[order]
         self._term_from = np.searchsorted(self._owner[order], np.arange(n + 1))
         self._n = n
+        # Terms that many documents hold have a row of weights; together at most 1 / OFTEN cells for each of theirs.
+        often = held >= max(OFTEN * n, 1)
+        self._row = np.where(often, np.cumsum(often) - 1, -1)
+        self._rows = np.zeros((int(often.sum()), n))
+        here = np.repeat(often, held)
+        self._rows[np.repeat(self._row, held)[here], self._owner[here]] = self._weight[here]
 
     def scores(self, seed: int) -> np.ndarray:
         """The score of every document for one document's distinct terms."""
         terms = self._term_of[self._term_from[seed] : self._term_from[seed + 1]]
-        starts, ends = self._from[terms], self._from[terms + 1]
-        sizes = ends - starts
-        at = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-        return np.bincount(self._owner[at], self._weight[at], self._n)
+        rows = self._row[terms]
+        total = self._rows[rows[rows >= 0]].sum(axis=0)
+        terms = terms[rows < 0]
+        if not len(terms):
+            return total
+        runs = [slice(a, b) for a, b in zip(self._from[terms].tolist(), self._from[terms + 1].tolist())]
+        owners = np.concatenate([self._owner[r] for r in runs])
+        return total + np.bincount(owners, np.concatenate([self._weight[r] for r in runs]), self._n)
 
 
 def fill(documents: list[np.ndarray], window: int, corpus: Corpus | None = None) -> Iterator[tuple[int, int, int, int, int]]:
@@ -179,7 +210,7 @@ def count_terms(tokens: DataFrame) -> Corpus:
         held, rows, total = np.zeros(0, np.int64), 0, 0
         for batch in batches:
             for ids in _unpacked(batch.column("ids")):
-                terms = np.unique(ids)
+                terms, _ = _distinct(np.sort(ids))
                 if terms[-1] >= len(held):
                     held = np.concatenate((held, np.zeros(int(terms[-1]) + 1 - len(held), np.int64)))
                 held[terms] += 1
@@ -189,7 +220,7 @@ def count_terms(tokens: DataFrame) -> Corpus:
         found = [np.append(terms, -1), np.append(held[terms], rows), np.append(np.zeros_like(terms), total)]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], schema=kinds)
 
-    found = tokens.select("ids").mapInArrow(counted, columns).groupBy("term").agg(F.sum("held").alias("held"), F.sum("total").alias("total"))
+    found = tokens.select("ids").mapInArrow(tidied(counted), columns).groupBy("term").agg(F.sum("held").alias("held"), F.sum("total").alias("total"))
     found = {r["term"]: r for r in found.toLocalIterator()}
     whole = found.pop(-1, {"held": 0, "total": 0})
     held = np.zeros(max(found, default=-1) + 1, np.int64)
@@ -212,7 +243,8 @@ def _dealt(tokens: DataFrame, corpus: Corpus, shards: int, shard_documents: int)
             same = pa.array([xxhash.xxh64_intdigest(ids.tobytes()) - 2**63 for ids in every], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), heavy, same], schema=kinds)
 
-    keys = tokens.select("row", "doc_id", "ids").mapInArrow(keyed, columns)
+    # Written, as the sort into ranges would compute them twice.
+    keys = stage(tokens.select("row", "doc_id", "ids").mapInArrow(tidied(keyed), columns), "pack-keys")
     # Equal rows may stand in any order.
     ranked = dense_index(keys, ["heavy", "doc_id", "same", "row"], "rank")
     return ranked.select("row", F.floor(F.col("rank") * shards / corpus.documents).cast("long").alias("shard"))
@@ -243,6 +275,7 @@ def pack(
     kinds = to_arrow_schema(_parse_datatype_string(PIECES))
 
     def packed(group: pa.Table) -> pa.Table:
+        forget()
         shard = group.column("shard")[0].as_py()
         rows = zip(group.column("doc_id").to_pylist(), _unpacked(group.column("ids")))
         rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].tobytes()))
@@ -257,6 +290,7 @@ def pack(
              offset, lengths[sequence] if lengths[sequence].bit_count() == 1 else window)
             for d, start, n, sequence, offset in found
         ])
+        given_back()
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=kinds)
 
     return dealt.select("shard", "doc_id", "ids").groupBy("shard").applyInArrow(packed, PIECES)

@@ -6,7 +6,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from ratingloom.llm import bitplane, packing, tokens
-from ratingloom.session import scratch_path
+from ratingloom.session import collected_scratch, scratch_path
 
 
 def expected(documents, end):
@@ -158,3 +158,45 @@ def test_written_odd_rows(spark, odd_documents, no_documents):
     check_written(spark, odd_documents, files=3)
     check_written(spark, odd_documents, kind="byte", block_ids=100)
     check_written(spark, no_documents)
+
+
+def test_known_words_are_not_taken_apart_again(monkeypatch):
+    coder = tokens.Encoder()
+    text = "Don't count, it's 2024: \u00c0 la carte\t(x)\r\n"
+    want = np.array(coder._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert coder.encode(text) == want
+    monkeypatch.setattr(tokens, "_PIECE", None)
+    assert coder.encode(text) == want
+
+
+def test_words_beyond_the_table_keep_their_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 3)
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 2)
+    coder = tokens.Encoder()
+    text = "one, two; three. four! five? six 78 n'ts 'tis"
+    want = np.array(coder._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert coder.encode(text) == want == coder.encode(text) and len(coder._pieces) <= 5
+
+
+def test_encoders_can_be_let_go():
+    first = tokens.encoder()
+    tokens.forget()
+    assert not tokens._LOADED and tokens.encoder() is not first
+
+
+def test_packing_writes_the_keys_of_its_order_once(documents):
+    with collected_scratch() as folders:
+        packing.pack(documents, shard_documents=64).count()
+    assert sum("/pack-keys-" in f for f in folders) == 1
+
+
+def test_common_and_rare_terms_score_alike(monkeypatch):
+    rng = np.random.default_rng(3)
+    docs = [rng.zipf(1.5, n) % 50 for n in rng.integers(0, 60, 40)]
+    index = packing.Index(docs)
+    assert 0 < len(index._rows) < len(index._terms)
+    monkeypatch.setattr(packing, "OFTEN", 2)
+    plain = packing.Index(docs)
+    assert not len(plain._rows)
+    for seed in range(40):
+        assert np.allclose(index.scores(seed), plain.scores(seed))
