@@ -8,6 +8,7 @@ as ``items`` (sorted array), ``size`` and ``freq``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,9 @@ from ratingloom.operators.index import dense_index
 from ratingloom.operators.vertical import count_sets, item_bitmaps
 from ratingloom.session import stage
 
+#: Items of a basket up to which each of them may carry the greater ones.
+LONG_BASKET = 256
+
 
 def basket_cells(baskets: DataFrame, duplicates: str = "drop") -> DataFrame:
     """Array baskets in long form.  ``duplicates``: ``drop`` or ``error``."""
@@ -101,14 +105,15 @@ def frequent_levels(
         # Only sets that some candidate extends have to be known where they occur.
         extended = candidates.select(F.col("prefix").alias("items")).distinct()
         if found is None:
-            singly = kept.withColumn("items", F.array("item")).drop("item")
-            found = _occurrences(singly, pairs.join(extended, "items", "left_semi"), kept)
+            first = pairs.join(extended, "items", "left_semi")
+            found = [_occurrences(f, first, kept) for f in _singly(kept)]
         else:
-            found = found.join(extended, "items", "left_semi")
-        found = _occurrences(found, candidates, kept)
+            found = [f.join(extended, "items", "left_semi") for f in found]
+        found = [_occurrences(f, candidates, kept) for f in found]
         if size != max_size:
-            found = stage(found, f"found{size}")
-        level = stage(_counted(found, size, min_count), f"level{size}")
+            found = [stage(f, f"found{size}") for f in found]
+        every = reduce(DataFrame.unionByName, [f.drop("rest") for f in found])
+        level = stage(_counted(every, size, min_count), f"level{size}")
 
 
 def frequent_itemsets(cells: DataFrame, min_count: int, max_size: int | None = None, **kernel) -> DataFrame:
@@ -243,11 +248,32 @@ def _candidates(level: DataFrame, size: int) -> DataFrame:
     return joined
 
 
-def _occurrences(found: DataFrame, grown: DataFrame, kept: DataFrame) -> DataFrame:
-    """Where the grown sets occur, from where their prefixes occur."""
-    return (
-        found.withColumnRenamed("items", "prefix")
-        .join(grown, "prefix")
-        .join(kept.select("basket", "item"), ["basket", "item"], "left_semi")
-        .drop("prefix", "item")
+def _singly(kept: DataFrame) -> list[DataFrame]:
+    """Where the single items occur: in baskets of at most ``LONG_BASKET`` items, with the greater ones
+    as ``rest``, and in longer baskets if there are any."""
+    weight = [c for c in ("weight",) if c in kept.columns]
+    sizes = kept.groupBy("basket").agg(F.count(F.lit(1)).alias("n"))
+    longer = stage(sizes.filter(F.col("n") > LONG_BASKET).select("basket"), "long-baskets")
+    none = longer.isEmpty()
+    short = kept.filter("basket is not null") if none else kept.join(longer, "basket", "left_anti").filter("basket is not null")
+    whole = short.groupBy("basket", *weight).agg(F.array_sort(F.collect_list("item")).alias("every"))
+    found = whole.select("basket", *weight, "every", F.posexplode("every").alias("at", "item")).select(
+        "basket", *weight, F.array("item").alias("items"), F.expr("slice(every, at + 2, size(every))").alias("rest")
     )
+    if none:
+        return [found]
+    return [found, kept.join(longer, "basket", "left_semi").select("basket", *weight, F.array("item").alias("items"))]
+
+
+def _occurrences(found: DataFrame, grown: DataFrame, kept: DataFrame) -> DataFrame:
+    """Where the grown sets occur, from where their prefixes occur.
+
+    With ``rest``, what a basket does not hold is dropped where it is made and never shuffled.  A long
+    basket would be copied too often and is asked through a join.
+    """
+    tried = found.withColumnRenamed("items", "prefix").join(grown, "prefix")
+    if "rest" in found.columns:
+        here = tried.filter(F.array_contains("rest", F.col("item")))
+    else:
+        here = tried.join(kept.select("basket", "item"), ["basket", "item"], "left_semi")
+    return here.drop("prefix", "item")

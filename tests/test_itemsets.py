@@ -184,3 +184,24 @@ def test_bitmaps_of_few_and_many_baskets():
             assert len(words) == -(-baskets // 64) and np.bitwise_count(words).sum() == len(places)
             bits = np.unpackbits(words.view(np.uint8))
             assert np.flatnonzero(bits).tolist() == places.tolist()
+
+
+def test_occurrences_in_short_and_long_baskets(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(b, rng.choice(12, rng.integers(1, 9), replace=False).tolist()) for b in range(60)]
+    cells = spark.createDataFrame([(b, i) for b, basket in rows for i in basket], "basket long, item long")
+    cells = cells.union(spark.createDataFrame([(None, i) for i in range(4)], cells.schema))
+    want = {k: n for k, n in brute([basket for _, basket in rows], 3).items()}
+    for longest in (0, 4, 100):
+        monkeypatch.setattr(sets, "LONG_BASKET", longest)
+        got = {tuple(r["items"]): r["freq"] for r in sets.frequent_itemsets(cells, 3).filter("size > 1").collect()}
+        assert got == {k: n for k, n in want.items() if len(k) > 1}
+
+
+def test_what_a_short_basket_does_not_hold_is_not_shuffled(spark, baskets):
+    kept = sets.basket_cells(baskets)
+    grown = kept.select(F.array("item").alias("prefix"), "item", F.array("item", "item").alias("items")).limit(1)
+    (found,) = sets._singly(kept)
+    assert "rest" in found.columns
+    plan = sets._occurrences(found, F.broadcast(grown), kept)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan
