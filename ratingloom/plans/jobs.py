@@ -40,7 +40,7 @@ def _error(table: DataFrame) -> float:
 def recommend_by_items(spark: SparkSession, train: str, output: str, n: int = TOP) -> None:
     """Item-based lists."""
     rated = _cells(spark, train)
-    ranked = itemcf.recommend(rated, stage(similarity.item_cosine(rated), "cosine"), n)
+    ranked = itemcf.recommend(rated, similarity.ItemCosine(rated), n)
     out.write_lines(out.recommendation_lines(ranked), output)
 
 
