@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ratingloom.operators import hops, itemcf, similarity
+from ratingloom.operators import hops, itemcf, product, similarity
 from ratingloom.plans import queries
 from ratingloom.session import collected_scratch, stage
 
@@ -57,15 +57,17 @@ def test_lists_by_hops(spark, monkeypatch, shape, sizes):
         assert lists(hops.best_by_hops(cells, measured, n, **sizes)) == wanted(matrix, n)
 
 
-def test_odd_rows_as_in_the_join(spark):
+def test_odd_rows_as_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(product.Shape, "use_blocks", True)
     matrix = sparse(8, 25, 60, 0.1)
     rows = [(int(u), int(i), float(matrix[u, i])) for u, i in zip(*np.nonzero(matrix))]
     rows += [(3, 100, None), (4, 100, None), (None, 2, 5.0), (5, None, 4.0), (6, 101, 0.0), (7, 101, 0.0), (8, 102, -2.0), (9, 102, 3.0)]
     cells = stage(spark.createDataFrame(rows, CELLS), "cells")
     by_hops = hops.best_by_hops(cells, hops.measure_hops(cells), 500, cells_per_piece=50)
-    by_join = itemcf.recommend(cells, similarity.item_cosine(cells), 500).filter("item is not null")
-    both = [{(r["user"], r["item"]): r["score"] for r in df.collect()} for df in (by_hops, by_join)]
+    by_blocks = itemcf.recommend(cells, similarity.item_cosine(cells), 500, join_limit=0)
+    both = [{(r["user"], r["item"]): r["score"] for r in df.collect()} for df in (by_hops, by_blocks)]
     assert both[0] == pytest.approx(both[1]) and len(both[0]) > 1000
+    assert {3, 4}.isdisjoint(u for u, _ in both[0]) and {5, 6, 7, 8} <= {u for u, _ in both[0]}
     nobody = cells.filter("user > 1000")
     assert hops.best_by_hops(nobody, hops.measure_hops(nobody)).isEmpty()
     alone = spark.createDataFrame([(1, 1, None), (2, 2, 3.0), (2, 3, 3.0)], CELLS)
