@@ -39,7 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ratingloom.llm.rows import as_array, buckets_of, tidied
-from ratingloom.llm.words import WORD, Runs, fingerprint, grams, word_arrays
+from ratingloom.llm.words import WORD, Runs, fingerprint, grams, mix, word_arrays
 from ratingloom.session import stage
 
 ANCHOR_WORDS = 8
@@ -227,7 +227,8 @@ def _suffixes(documents: DataFrame, window: int, buckets: int, parts: int, hot:
             if not held:
                 continue
             anchor, *columns = (np.concatenate(c) for c in zip(*held))
-            bucket = buckets_of(anchor, buckets)
+            # Anchors are least numbers: scrambled, they fill the buckets evenly.
+            bucket = buckets_of(mix(anchor), buckets)
             # All of a document's suffixes with one anchor stay in one part.
             part = columns[0] % parts if kind else np.zeros(len(bucket), np.int64)
             route = bucket * parts + part
@@ -360,6 +361,8 @@ def _hot_repeats(suffixes: DataFrame, window: int, buckets: int, parts: int) ->
         prints, least = known["prints"][order], known["least"][order]
         at = np.minimum(np.searchsorted(prints, held["prints"]), len(prints) - 1)
         later = np.flatnonzero((prints[at] == held["prints"]) & (least[at] < held["documents"]))
+        if not len(later):
+            return _rows(*[np.zeros(0, np.int64)] * 4)
         documents, hashes, starts = (held[c][later] for c in ("documents", "hashes", "starts"))
         order = np.lexsort((starts, hashes, documents))
         documents, hashes, starts = documents[order], hashes[order], starts[order]

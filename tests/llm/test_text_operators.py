@@ -161,6 +161,34 @@ def test_one_passage_in_a_third_of_the_documents(spark, hot):
     assert len(lines) == 99 and sum(map(len, lines)) < 99 * 4
 
 
+def test_common_anchor_of_windows_that_few_documents_share(spark):
+    # All documents have the same forty words, two of them the same eighty: most parts hold no later copy of a window.
+    rng = np.random.default_rng(14)
+    common = [f"p{i}" for i in range(40)]
+    around = [f"q{i}" for i in range(40)]
+    rows = []
+    for i in range(6):
+        body = [f"u{rng.integers(10**9)}" for _ in range(60)]
+        rows.append((i, " ".join(body[:30] + (around[:20] + common + around[20:] if i < 2 else common) + body[30:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = removed(repeats.remove_repeats(docs, hot=2))
+    assert found == brute_repeats(rows, 50) and sum(row[2] for row in found) == 80
+
+
+def test_slices_fill_the_buckets_evenly(spark):
+    rng = np.random.default_rng(15)
+    passages = [" ".join(f"p{rng.integers(10**9)}" for _ in range(60)) for _ in range(400)]
+    docs = spark.createDataFrame([(i, passages[i % 400] + f" u{i}") for i in range(800)], "doc_id long, text string")
+    wanted = spark.createDataFrame([
+        (i, [int(a) for a in np.unique(repeats.anchors_of(next(words.word_arrays([passages[i % 400]], False)), 50)).view(np.int64)])
+        for i in range(800)
+    ], "doc_id long, anchors array<long>").selectExpr("*", "transform(anchors, a -> 2L) as held")
+    chosen = docs.selectExpr("doc_id", "xxhash64(text) as text_hash", "text").join(wanted, "doc_id")
+    sent = repeats._suffixes(chosen, 50, 16, 1, 1024).selectExpr("bucket", "length(words) as n").groupBy("bucket").sum("n").collect()
+    sizes = [row[1] for row in sent]
+    assert len(sizes) == 16 and max(sizes) < 3 * sum(sizes) / 16
+
+
 def brute_depths(slices, documents, window):
     """For every suffix how many words it shares at most with one of a smaller document, from the window on."""
     out = []
