@@ -234,6 +234,25 @@ def test_pairs_of_many_columns_are_added_up_where_they_are_made(spark, offset):
         assert {(r.i, r.j): r.dot for r in found} == pytest.approx({k: math.fsum(v) if v else None for k, v in expected.items()})
 
 
+@pytest.mark.parametrize("offset", [0, -(2**40)])
+def test_blocks_of_pairs_read_the_rows_from_where_they_are(spark, monkeypatch, offset):
+    """However many blocks there are, rows are stored once: a block's plan has no shuffle."""
+    monkeypatch.setattr(gram, "_PAIRS_PER_BLOCK", 500)
+    monkeypatch.setattr(gram, "_CELLS_PER_CHUNK", 64)
+    rng = np.random.default_rng(6)
+    rows = [(u, offset + int(i), float(rng.integers(1, 9))) for u in range(150) for i in rng.choice(1500, 14, replace=False)]
+    df = spark.createDataFrame(rows, "user long, item long, rating double")
+    pairs = gram.pair_products(df, "user", "item", "rating")
+    assert pairs.rdd.getNumPartitions() > 20
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    found = pairs.collect()
+    expected = {}
+    for _, group in itertools.groupby(rows, key=lambda r: r[0]):
+        for (_, i, a), (_, j, b) in itertools.combinations(sorted(group), 2):
+            expected[i, j] = expected.get((i, j), 0.0) + a * b
+    assert len(found) == len(expected) and {(r.i, r.j): r.dot for r in found} == expected
+
+
 def test_implicit_als_with_users_and_items_without_a_positive(spark):
     """Forty users that reject everything: their systems are singular, their factors zero."""
     likes = [(u, i, 1.0 + (u * i) % 3) for u in range(30) for i in range(12) if (u + i) % 4]
