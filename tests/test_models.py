@@ -286,6 +286,29 @@ def test_user_predictions_by_lists(spark, monkeypatch, size):
     assert scores(found) == pytest.approx(expected)
 
 
+@pytest.mark.parametrize("table", [10**6, 0], ids=["table", "search"])
+@pytest.mark.parametrize("held", [40, 10**6])
+def test_blocks_of_users_read_ratings_from_where_they_are(spark, monkeypatch, held, table):
+    """Predictions and lists of blocks that read all ratings are those of the joins, and no rating is copied."""
+    rng = np.random.default_rng(7)
+    rows = [(u, i, float(rng.integers(1, 6))) for u in range(60) for i in range(50) if rng.random() < 0.15]
+    rows += [(60, i, 2.0) for i in range(50)] + [(u, 50, 3.0) for u in range(60)] + [(61, 51, 4.0)]
+    rows += [(62, 52, 5.0), (63, 52, -5.0)]  # a weight of zero
+    df = spark.createDataFrame(rows, "user long, item long, rating double")
+    similar = similarity.user_cosine(df).cache()
+    by_join = [(r.user, r["rank"], r.item, round(r.score, 9)) for r in usercf.recommend(df, similar, 7).collect()]
+    wanted = df.select("user", "item").union(df.select((F.col("user") + 1).alias("user"), "item")).distinct()
+    predicted = scores(usercf._predict_by_join(wanted, df, similar))
+    for name, value in {"MOVED_LIMIT": 0, "HELD_PER_BLOCK": held, "LIST": 30, "_AT_ONCE": 50, "_TABLE": table}.items():
+        monkeypatch.setattr(usercf, name, value)
+    found = usercf.recommend(df, similar, 7, join_limit=0, cells_per_block=20, keys_per_block=4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "collect_list" not in plan
+    assert sorted((r.user, r["rank"], r.item, round(r.score, 9)) for r in found.collect()) == sorted(by_join)
+    found = usercf._predict_by_lists(wanted, df, similar, 10**9)
+    assert found.count() == len(predicted) and scores(found) == pytest.approx(predicted)
+
+
 def test_pairs_of_long_rows_alike_are_not_shuffled(spark):
     rng = np.random.default_rng(4)
     matrix = rng.integers(1, 6, (5, 90)).astype(float)
