@@ -100,3 +100,11 @@ def test_parts_stage_no_pairs(spark, monkeypatch, tmp_path):
         assert best.count() == 80 * 100
     assert folders and max(spark.read.parquet(f).count() for f in folders) <= len(found)
     assert lists(best) == {(u + 3, rank): ((i + 5) // 7, score) for (u, rank), (i, score) in wanted(matrix, 100).items()}
+
+
+def test_pieces_and_blocks_are_small_in_a_task(spark):
+    """Pieces pass as slices of which ten thousand, a batch, are 16 MB; a task's arrays stay below 300 MB."""
+    rows = [(u, i, 1.0 + (u * i) % 97 / 7) for u in range(300) for i in range(u % 7, 700, 7)]
+    slices = hops._pieces(stage(spark.createDataFrame(rows, CELLS), "cells"), 2)
+    assert slices.count() > 20 and slices.agg(F.max(F.length("data"))).first()[0] <= 1600
+    assert 40 * hops.HOPS_PER_BLOCK + 60 * hops.CELLS_PER_PIECE < 300e6
