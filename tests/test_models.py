@@ -325,6 +325,22 @@ def test_pairs_of_long_rows_alike_are_not_shuffled(spark):
     assert len(found) == 90 * 89 // 2 and found[1, 3] == pytest.approx(whole[1, 3] + 4)
 
 
+def test_strips_of_long_rows_are_read_from_where_they_are(spark):
+    rng = np.random.default_rng(8)
+    rows = [(r, int(c), None if (r + c) % 50 == 0 else float(rng.integers(0, 4)), 1.0 + r) for r in range(4) for c in rng.choice(400, 300, replace=False)]
+    df = spark.createDataFrame(rows, "user long, item long, rating double, w double")
+    for weight in (None, "w"):
+        pairs = gram.pair_products(df, "user", "item", "rating", weight=weight, long_row=100, block_cols=20)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "other" not in plan  # no cell goes to every other block
+        assert pairs.rdd.getNumPartitions() == 4
+        found = {(x.i, x.j): x.dot for x in pairs.collect()}
+        flat = gram._summed(gram._block_pairs(
+            df.selectExpr("user as r", "item as c", "rating as a", f"rating * {'w' if weight else 1} as b").withColumn("n", F.lit(300)), 20, 1))
+        expected = {(x.i, x.j): x.dot for x in flat.collect()}
+        assert found.keys() == expected.keys() and found == pytest.approx(expected)
+
+
 def test_blocks_get_lists_of_cells(spark, cells):
     """What is copied to every opposite block are lists; scores are those of single cells, nulls left out alike."""
     table = similarity.user_cosine(cells)
