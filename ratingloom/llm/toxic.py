@@ -169,7 +169,8 @@ class Model:
 
     def score(self, tokens: Tokens, marginals: np.ndarray) -> np.ndarray:
         """Every document's probability of being toxic."""
-        return _sigmoid(document_evidence(tokens, marginals) @ self.last)
+        # Row by row: the last digit of a matrix product depends on where a row stands.
+        return _sigmoid((document_evidence(tokens, marginals) * self.last).sum(axis=1))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
